@@ -157,8 +157,8 @@ SCORED = (
     f"{spread_sql('toxic')} AS toxic_p FROM labelled))"
 )
 HEAD_ROWS = (
-    "head_rows AS (SELECT * FROM (SELECT 'prompt_injection' AS head, prompt_injection AS p, label FROM scored "
-    "UNION ALL SELECT 'jailbreak', jailbreak, label FROM scored UNION ALL SELECT 'toxic', toxic_p, label FROM scored) "
+    "head_rows AS (SELECT * FROM (SELECT doc_id, 'prompt_injection' AS head, prompt_injection AS p, label FROM scored "
+    "UNION ALL SELECT doc_id, 'jailbreak', jailbreak, label FROM scored UNION ALL SELECT doc_id, 'toxic', toxic_p, label FROM scored) "
     "WHERE label = head OR label = 'safe')"
 )
 

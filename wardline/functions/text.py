@@ -19,6 +19,8 @@ _EDGES = f"(?U)^{SPACE_CLASS}+|{SPACE_CLASS}+$"
 # Text made only of ASCII and U+00C0-U+00FF letters is already in NFKC form.
 _MAY_CHANGE_UNDER_NFKC = r"[^\x00-\x7F\u00C0-\u00FF]"
 _MIXED_LEET_TOKEN = r"(?U)[A-Za-z][^\s\x1c-\x1f]*[013457@$]|[013457@$][^\s\x1c-\x1f]*[A-Za-z]"
+# A noncharacter: never part of interchanged text.
+SENTENCE_MARK = "\uFDD0"
 WORD_CHARS = r"[\p{L}\p{N}_]"
 
 
@@ -97,6 +99,17 @@ def segments(text: Column) -> Column:
     )[0]
 
 
+def mark_sentences(text: Column) -> Column:
+    """T6 for scorers: sentence boundaries become ``SENTENCE_MARK``, so that the text can be normalized
+    once and still be cut into its sentences. Blank sentences are gone."""
+    mark = f" {SENTENCE_MARK} "
+    marked = F.regexp_replace(text, r"(?U)(?<=[.!?])" + SPACE_CLASS + r"+|\n+", mark)
+    single = F.regexp_replace(marked, f"(?U){SENTENCE_MARK}(?:{SPACE_CLASS}*{SENTENCE_MARK})+", SENTENCE_MARK)
+    return F.regexp_replace(
+        single, f"(?U)^{SPACE_CLASS}*{SENTENCE_MARK}|{SENTENCE_MARK}{SPACE_CLASS}*$", ""
+    )
+
+
 def word_tokens(norm: Column) -> Column:
     """T7. Runs of two or more word characters."""
     return F.regexp_extract_all(norm, F.lit("(" + WORD_CHARS + "{2,})"), 1)
@@ -112,13 +125,7 @@ def word_ngrams(norm: Column) -> Column:
     )[0]
 
 
-def char_ngrams(word: Column, low: int = 3, high: int = 5) -> Column:
-    """T8. Character n-grams of one space-padded word; a short word counts once.
-
-    The padded length is at least ``low``, so sizes run from ``low`` to ``min(high, length)``.
-    """
-    padded = F.concat(F.lit(" "), word, F.lit(" "))
-    length = F.char_length(word) + 2
+def _cut(padded: Column, length: Column, low: int, high: int) -> Column:
     return F.flatten(
         F.transform(
             F.sequence(F.lit(low), F.least(F.lit(high), length)),
@@ -127,6 +134,22 @@ def char_ngrams(word: Column, low: int = 3, high: int = 5) -> Column:
     )
 
 
+def char_ngrams(word: Column, low: int = 3, high: int = 5) -> Column:
+    """T8. Character n-grams of one space-padded word; a short word counts once.
+
+    The padded length is at least ``low``, so sizes run from ``low`` to ``min(high, length)``. A
+    look-ahead match per size finds the overlapping pieces; it steps by UTF-16 unit, so words with
+    characters beyond the basic plane are cut by position instead.
+    """
+    padded = F.concat(F.lit(" "), word, F.lit(" "))
+    matched = F.concat(*[
+        F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in range(low, high + 1)
+    ])
+    return F.when(
+        word.rlike(r"[\x{10000}-\x{10FFFF}]"), _cut(padded, F.char_length(word) + 2, low, high)
+    ).otherwise(matched)
+
+
 def logistic(z: Column) -> Column:
     """T10."""
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))

@@ -79,7 +79,9 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence
             F.max(place - F.floor(place)).alias(f"_{name}_w"),
         ]
         lo, hi, w = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col(f"_{name}_w")
-        out.append(rounded(lo + (hi - lo) * w, 3).alias(name))
+        # Interpolate from the nearer end, as numpy does.
+        between = F.when(w < 0.5, lo + (hi - lo) * w).otherwise(hi - (hi - lo) * (1 - w))
+        out.append(rounded(between, 3).alias(name))
     return joined.groupBy(*keys).agg(F.max("total").alias("n"), *picks).select(*given, "n", *out)
 
 
