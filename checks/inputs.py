@@ -164,9 +164,9 @@ HEAD_ROWS = (
 
 
 # -- conversations -----------------------------------------------------------------------------------
-def turns(spark: SparkSession, sf: str) -> DataFrame:
+def turns(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     """All turns, with a payload split over the first user turns of every fifth conversation, and a risk."""
-    rows = table(spark, sf, "conversations")
+    rows = table(spark, sf, "conversations") if rows is None else rows
     step = F.floor(F.col("turn") / 2)
     planted = (F.col("conv_id") % 5 == 0) & (F.col("role") == "user") & (step < len(PHRASES))
     phrase = _case(step, dict(enumerate(PHRASES)), F.lit(""))

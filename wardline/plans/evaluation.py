@@ -6,23 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.perturb import PERTURBATIONS
-from wardline.operators import corpus, metrics, scoring
+from wardline.operators import corpus, metrics
 from wardline.operators.guard import PATTERN_CHECKS, detect
+from wardline.operators.linear_scorer import load_linear, with_linear_scores
 from wardline.plans.lineage import cut
 from wardline.plans.registry import Model
 from wardline.settings import HEADS
 from wardline.sources.chat import metrics_long
 
 
-def score_rows(rows: DataFrame, model: Model, threshold: float, id_: str = "_id", text: str = "text") -> DataFrame:
-    """L6. Rows plus ``<head>.., top_p, ml, regex``; ``id_`` identifies a row."""
-    scores = scoring.linear_scores(rows.select(id_, text), id_, model.terms, model.intercepts, text)
-    matched = detect(rows, text).drop("_norm")
+def score_rows(rows: DataFrame, model: Model, threshold: float, text: str = "text") -> DataFrame:
+    """L6. Rows plus ``<head>.., top_p, ml, regex``, in place: no shuffle."""
+    scored = with_linear_scores(rows, load_linear(model.terms, model.intercepts), text)
+    matched = detect(scored, text).drop("_norm")
     regex = F.greatest(*[F.col(f"{c}_match") != "" for c in PATTERN_CHECKS])
-    judged = matched.withColumn("regex", regex).drop(*[f"{c}_match" for c in PATTERN_CHECKS])
-    return judged.join(scores, id_).withColumns({
-        "top_p": F.greatest(*[F.col(h) for h in HEADS]), "ml": metrics.any_head(threshold),
-    })
+    return matched.withColumns({
+        "regex": regex, "top_p": F.greatest(*[F.col(h) for h in HEADS]), "ml": metrics.any_head(threshold),
+    }).drop(*[f"{c}_match" for c in PATTERN_CHECKS])
 
 
 def perturbed(rows: DataFrame, text: str = "text", original: bool = True) -> DataFrame:
@@ -53,15 +53,12 @@ def adversarial_catches(scored: DataFrame) -> DataFrame:
 
 def benchmark_report(bench_rows: DataFrame, model: Model, threshold: float) -> tuple[DataFrame, DataFrame]:
     """L7. ``(scores by bench and detector, accuracy by category)`` for a model, current or pinned."""
-    keyed = bench_rows.withColumn("_id", F.md5(F.concat_ws("\u0001", "bench", "category", "text")))
-    scored = cut(score_rows(keyed.dropDuplicates(["_id"]), model, threshold))
+    scored = cut(score_rows(bench_rows, model, threshold).select("bench", "category", "is_attack", "ml", "regex"))
     sides = F.array(
         F.struct(F.lit("ml_only").alias("detector"), F.col("ml").alias("blocked")),
         F.struct(F.lit("guard").alias("detector"), (F.col("ml") | F.col("regex")).alias("blocked")),
     )
-    # Equal rows were scored once; weighting them back keeps every row counted.
-    counted = keyed.select("_id", "bench", "category", "is_attack").join(scored.select("_id", "ml", "regex"), "_id")
-    by_detector = counted.select("bench", "category", "is_attack", F.inline(sides))
+    by_detector = scored.select("bench", "category", "is_attack", F.inline(sides))
     return (
         metrics.benchmark_score(by_detector),
         metrics.accuracy_by_category(by_detector, ["bench", "detector", "category"]),
@@ -75,17 +72,15 @@ def evaluation_report(
 
     ``examples`` are the deduplicated training examples; the held-out part is found again by hash.
     """
-    held_out = corpus.with_split(examples, seed=seed).where("split = 'test'").withColumn("_id", F.md5("text"))
+    held_out = corpus.with_split(examples, seed=seed).where("split = 'test'")
     scored = cut(score_rows(held_out, model, threshold)).withColumns(
         {"blocked": F.col("ml"), "is_attack": F.col("label") != "safe"}
     )
     heads = metrics.per_head(scored)
-    gate = cut(score_rows(prompts.withColumn("_id", F.md5("text")), model, threshold)).withColumn(
+    gate = cut(score_rows(prompts, model, threshold)).withColumn(
         "is_attack", F.col("label") != "safe"
     )
-    rewritten = perturbed(prompts.where("label <> 'safe'")).withColumn(
-        "_id", F.md5(F.concat_ws("\u0001", "perturbation", "text"))
-    )
+    rewritten = perturbed(prompts.where("label <> 'safe'"))
     version = model.version
     sections = [
         metrics_long(metrics.head_metrics(heads, threshold), version, "heads", ["head"]),
@@ -96,8 +91,7 @@ def evaluation_report(
         metrics_long(metrics.detector_comparison(gate), version, "eval_set", ["detector"]),
         metrics_long(robustness(score_rows(rewritten, model, threshold)), version, "robustness", ["perturbation"]),
         metrics_long(
-            adversarial_catches(score_rows(adversarial.withColumn("_id", F.md5("text")), model, threshold)),
-            version, "adversarial", [],
+            adversarial_catches(score_rows(adversarial, model, threshold)), version, "adversarial", [],
         ),
         metrics_long(
             metrics.drift_warning(scored.agg(F.count(F.lit(1)).alias("n_test")), model.metadata.get("n_test", 0)),

@@ -15,6 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.operators.linear_scorer import LinearModel, load_linear
 from wardline.operators.selection import newest_versions
 from wardline.settings import HEADS
 
@@ -85,6 +86,7 @@ class ModelRefresher:
     def __init__(self, spark: SparkSession, root: str):
         self._spark, self._root = spark, root
         self._loaded: Model | None = None
+        self._linear: tuple[str, LinearModel] | None = None
 
     def get(self) -> Model | None:
         try:
@@ -96,3 +98,9 @@ class ModelRefresher:
         except Exception as error:  # a version still being written fails in many ways
             log.warning("keeping model %s: %s", self._loaded and self._loaded.version, error)
         return self._loaded
+
+    def linear(self, model: Model) -> LinearModel:
+        """Arrays of ``model``, built once per version."""
+        if self._linear is None or self._linear[0] != model.version:
+            self._linear = (model.version, load_linear(model.terms, model.intercepts))
+        return self._linear[1]

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from wardline.operators.guard import guard
+from wardline.operators.linear_scorer import with_linear_scores
 from wardline.operators.requests import accepted
-from wardline.operators.scoring import linear_scores, with_scores
+from wardline.operators.scoring import heads_map
 from wardline.plans.registry import ModelRefresher
 
 
@@ -20,12 +21,11 @@ def guard_requests(requests: DataFrame, heads: str | None = None, threshold: flo
 
 
 def guard_with_current_model(
-    requests: DataFrame, refresher: ModelRefresher, write: Callable[[DataFrame, int], None], id_: str,
-    threshold: float = 0.5,
+    requests: DataFrame, refresher: ModelRefresher, write: Callable[[DataFrame, int], None], threshold: float = 0.5,
 ) -> DataStreamWriter:
     """X6. Score each micro-batch with the model the pointer names at that moment.
 
-    ``id_`` identifies a request. ``write(guarded, batch_id)`` must be idempotent per batch id.
+    ``write(guarded, batch_id)`` must be idempotent per batch id.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -34,8 +34,8 @@ def guard_with_current_model(
         if model is None:
             write(guard(valid, "user_text"), batch_id)
             return
-        scores = linear_scores(valid.select(id_, "user_text"), id_, model.terms, model.intercepts, "user_text")
-        scored = with_scores(valid, scores, id_, list(model.intercepts))
-        write(guard(scored, "user_text", "heads", threshold).withColumn("version", F.lit(model.version)), batch_id)
+        linear = refresher.linear(model)
+        scored = with_linear_scores(valid, linear, "user_text").withColumn("heads", heads_map(linear.heads))
+        write(guard(scored.drop(*linear.heads), "user_text", "heads", threshold).withColumn("version", F.lit(model.version)), batch_id)
 
     return requests.writeStream.foreachBatch(run)

@@ -10,7 +10,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -119,6 +119,14 @@ class ConversationProcessor(StatefulProcessor):
         pass
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """Select the state store the monitor needs; call before the stream starts."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+
+
 def conversation_turns(requests: DataFrame, heads: str | None = None, settings: ConversationSettings = ConversationSettings()) -> DataFrame:
     """X3. One slim row per accepted request that names a conversation: only its last message counts.
 
