@@ -32,9 +32,9 @@ NONE = -1
 class ConversationProcessor(StatefulProcessor):
     """State per conversation: counters, and the last turns kept (text only where a window still needs it)."""
 
-    def __init__(self, load: Callable[[], BatchScorer] | None, settings: ConversationSettings, state_ttl_seconds: int):
+    def __init__(self, load: Callable[[], BatchScorer] | None, settings: ConversationSettings, state_ttl_seconds: int | None):
         self._load, self._settings = load, settings
-        self._state_ttl_ms = state_ttl_seconds * 1000
+        self._state_ttl_ms = state_ttl_seconds and state_ttl_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._counters = handle.getValueState("counters", _COUNTERS, self._state_ttl_ms)
@@ -146,19 +146,20 @@ def monitor_stream(
     turns: DataFrame,
     load_scorer: Callable[[], BatchScorer] | None,
     settings: ConversationSettings = ConversationSettings(),
-    state_ttl_seconds: int = 86_400,
+    state_ttl_seconds: int | None = None,
 ) -> DataFrame:
     """X1, X2. Monitor rows for a stream of ``conversation_turns``.
 
-    Idle expiry compares event times and is refreshed by recorded turns only; ``state_ttl_seconds``
-    (wall clock) merely frees the state of conversations that never come back, so it should be well
-    above the longest stall of the job. Needs the RocksDB state store.
+    Idle expiry compares event times and is refreshed by recorded turns only. ``state_ttl_seconds`` (wall
+    clock) merely frees the state of conversations that never come back: set it, well above the longest
+    stall, on a job that runs forever. Leave it out under an ``availableNow`` trigger, where clocked
+    state would schedule empty batches without end. Needs the RocksDB state store.
     """
-    if state_ttl_seconds < settings.ttl_seconds:
+    if state_ttl_seconds is not None and state_ttl_seconds < settings.ttl_seconds:
         raise ValueError("state_ttl_seconds must not be below the conversation TTL")
     return turns.groupBy("conversation_id").transformWithStateInPandas(
         statefulProcessor=ConversationProcessor(load_scorer, settings, state_ttl_seconds),
         outputStructType=OUTPUT_SCHEMA,
         outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode="ProcessingTime" if state_ttl_seconds else "None",
     )
