@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,9 +23,16 @@ DETECTORS = {
 }
 
 
+def may_match(norm: Column, name: str) -> Column:
+    """Cheap necessary condition: substring searches instead of a pattern walk."""
+    tests = [norm.contains(needle) for needle in (*P.NEEDS[name], P.DOTLESS_I)]
+    return reduce(lambda a, b: a | b, tests)
+
+
 def first_match(norm: Column, name: str) -> Column:
-    """Text of the first hit of detector ``name``, or the empty string."""
-    return F.regexp_extract(norm, FLAGS + DETECTORS[name], 1)
+    """Text of the first hit of detector ``name`` in normalized text, or the empty string."""
+    found = F.when(may_match(norm, name), F.regexp_extract(norm, FLAGS + DETECTORS[name], 1))
+    return F.when(norm.isNotNull(), F.coalesce(found, F.lit("")))
 
 
 def check_result(passed: Column, score: Column, reason: Column, action: Column) -> Column:

@@ -32,6 +32,19 @@ TOXIC_CONTENT = (
     r"\b(?:suicide|self-harm)\s+(?:instructions|guide)\b",
 )
 
+# A normalized text (lower case, single spaces) that holds none of these cannot match the detector.
+NEEDS = {
+    "prompt_injection": (
+        "instruction", "directive", "prompt", "rule", "you are now ", "[system", "<system>", "<|im_start|>",
+    ),
+    "jailbreak": ("dan", "do anything now", "jailbreak", "pretend ", "ignore ", "hypothetical ", "unfiltered "),
+    "toxic_content": (
+        "yoursel", "bomb", "explosive", "chemical ", "hate speech", "violent ", "suicide ", "self-harm ",
+    ),
+}
+# The one letter left after NFKC and lower-casing that case-insensitively equals another ASCII letter.
+DOTLESS_I = "\u0131"
+
 # -- fixed values: reason texts --------------------------------------------------------------------
 HIT_REASON = {
     "prompt_injection": "Prompt injection attempt detected",

@@ -9,7 +9,7 @@ from wardline.functions import patterns as P
 from wardline.functions.detectors import FLAGS, check_result
 
 KINDS = tuple(P.PII)
-_THREE_DIGITS = r"(?U)\d{3}"
+_THREE_DIGITS = r"[0-9]{3}|\p{Nd}{3}"
 
 
 def redaction(kind: str) -> str:
