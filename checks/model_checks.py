@@ -38,17 +38,17 @@ def _ngram_counts(kind: str):
 
 
 def vocab_topk(spark: SparkSession, sf: str) -> DataFrame:
-    vocab = features.vocabulary(features.term_totals(I.docs(spark, sf)), WORDS, CHARS)
+    vocab = features.vocabulary(cut(features.term_totals(I.docs(spark, sf))), WORDS, CHARS)
     return vocab.select("kind", "term", "tf")
 
 
 def idf(spark: SparkSession, sf: str) -> DataFrame:
-    vocab = features.vocabulary(features.term_totals(I.docs(spark, sf)), WORDS, CHARS)
+    vocab = features.vocabulary(cut(features.term_totals(I.docs(spark, sf))), WORDS, CHARS)
     return vocab.select("kind", "term", "df", F.round("idf", P9).alias("idf"))
 
 
 def tfidf(spark: SparkSession, sf: str) -> DataFrame:
-    counts = _counts(spark, sf)
+    counts = cut(_counts(spark, sf))
     values = features.tfidf(counts, features.vocabulary(features.totals_of(counts), WORDS, CHARS), ["doc_id"])
     return values.select("doc_id", "kind", "term", F.round("value", P9).alias("value"))
 
@@ -60,7 +60,7 @@ def _weight(head: str) -> Column:
 
 def _model(spark: SparkSession, sf: str) -> DataFrame:
     """Vocabulary of the documents with weights drawn from term hashes."""
-    vocab = features.vocabulary(features.term_totals(I.table(spark, sf, "documents")), WORDS, CHARS)
+    vocab = features.vocabulary(cut(features.term_totals(I.table(spark, sf, "documents"))), WORDS, CHARS)
     return cut(vocab.select("kind", "term", "idf", *[_weight(h).alias(h) for h in HEADS]))
 
 

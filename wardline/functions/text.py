@@ -18,7 +18,9 @@ _OTHER_SPACES = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u2
 SPACE_CLASS = f"[ {_OTHER_SPACES}]"
 # Runs other than exactly one plain space: all there is to change when collapsing.
 _IRREGULAR_SPACES = f"[{_OTHER_SPACES}]{SPACE_CLASS}*| {SPACE_CLASS}+"
-_EDGES = f"^{SPACE_CLASS}+|{SPACE_CLASS}+$"
+_ALL_SPACES = (
+    " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+)
 # Text made only of ASCII and U+00C0-U+00FF letters is already in NFKC form.
 _MAY_CHANGE_UNDER_NFKC = r"[^\x00-\x7F\u00C0-\u00FF]"
 _LEET = "[013457@$]"
@@ -71,7 +73,7 @@ def unleet_words(spaced: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Python ``str.strip``: white space of every kind off both ends."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.trim(text, F.lit(_ALL_SPACES))
 
 
 def norm_key(text: Column) -> Column:

@@ -7,8 +7,6 @@ goals' anchors in an equi-join, and only the meeting pairs are verified with ``c
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,36 +44,37 @@ def goal_keys(goals: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _slots(pieces: Column, size: int, from_: int, to: Column) -> Column:
-    """Joined runs of ``size`` pieces starting at positions ``from_ .. to`` (empty when there are none)."""
-    starts = F.filter(F.sequence(F.lit(from_), F.greatest(to, F.lit(from_))), lambda i: i <= to)
-    return F.transform(starts, lambda i: F.array_join(F.slice(pieces, i, F.lit(size)), " "))
-
-
-def _word_fragments(text: Column, size: int) -> Column:
-    words = F.split(text, " ")
-    return F.transform(F.array(words), lambda w: _slots(w, size, 1, F.size(w) - size + 1))[0]
+def _positions(first: int, last: Column) -> Column:
+    """``first .. last``, empty when ``last`` comes before ``first``."""
+    return F.filter(F.sequence(F.lit(first), F.greatest(last, F.lit(first))), lambda i: i <= last)
 
 
-def _char_fragments(text: Column, size: int) -> Column:
-    starts = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.char_length(text) - size + 1, F.lit(1))),
-        lambda i: i <= F.char_length(text) - size + 1,
+def _word_hashes(words: Column, size: int, first: int, last: Column) -> Column:
+    """Hashes of the runs of ``size`` words that start at positions ``first .. last``."""
+    return F.transform(
+        _positions(first, last),
+        lambda i: F.xxhash64(F.lit("word"), F.lit(size), *[F.get(words, i + (k - 1)) for k in range(size)]),
     )
-    return F.transform(starts, lambda i: F.substr(text, i, F.lit(size)))
 
 
-def _anchor_hash(kind: str, size: int) -> Callable[[Column], Column]:
-    return lambda fragment: F.xxhash64(F.lit(kind), F.lit(size), fragment)
+def _char_hashes(text: Column, size: int, last: Column) -> Column:
+    return F.transform(
+        _positions(1, last), lambda i: F.xxhash64(F.lit("char"), F.lit(size), F.substr(text, i, F.lit(size)))
+    )
 
 
 def _fragments(text: Column, shapes: list[tuple[str, int]]) -> Column:
     """Distinct hashed fragments of every wanted shape."""
-    parts = []
-    for kind, size in shapes:
-        found = _word_fragments(text, size) if kind == "word" else _char_fragments(text, size)
-        parts.append(F.transform(found, _anchor_hash(kind, size)))
-    return F.array_distinct(F.concat(*parts))
+    def hashed(words: Column) -> Column:
+        parts = [
+            _word_hashes(words, size, 1, F.size(words) - (size - 1)) if kind == "word"
+            else _char_hashes(text, size, F.char_length(text) - (size - 1))
+            for kind, size in shapes
+        ]
+        return F.array_distinct(F.concat(*parts))
+
+    # The one-element array binds the word list, so that it is split once.
+    return F.transform(F.array(F.split(text, " ")), hashed)[0]
 
 
 def _anchor_choices(keys: DataFrame, shapes: list[tuple[str, int]]) -> DataFrame:
@@ -85,11 +84,10 @@ def _anchor_choices(keys: DataFrame, shapes: list[tuple[str, int]]) -> DataFrame
         of_shape = keys.where((F.col("kind") == kind) & (F.col("size") == size))
         if kind == "word":
             words = F.split("goal", " ")
-            candidates = F.transform(F.array(words), lambda w: _slots(w, size, 2, F.size(w) - size))[0]
+            interior = _word_hashes(words, size, 2, F.size(words) - size)
         else:
-            candidates = F.array(F.substr(F.col("goal"), F.lit(1), F.lit(size)))
-        hashed = F.array_distinct(F.transform(candidates, _anchor_hash(kind, size)))
-        options.append(of_shape.select("goal", F.explode(hashed).alias("anchor")))
+            interior = _char_hashes(F.col("goal"), size, F.lit(1))
+        options.append(of_shape.select("goal", F.explode(F.array_distinct(interior)).alias("anchor")))
     stacked = options[0]
     for more in options[1:]:
         stacked = stacked.unionByName(more)
