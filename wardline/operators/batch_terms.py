@@ -73,12 +73,21 @@ def word_totals(texts: list[str]) -> tuple[Counter, Counter]:
     return tf, df
 
 
+def _frame(kind: str, terms: list[str], tf, df) -> pd.DataFrame:
+    return pd.DataFrame({
+        "kind": [kind] * len(terms), "term": terms, "tf": np.asarray(tf, dtype=np.int64), "df": np.asarray(df, dtype=np.int64),
+    })
+
+
 def batch_totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = batch.iloc[:, 0].fillna("").tolist()
         for some in slabs(texts):
             terms, tf, df = char_totals(some)
-            yield pd.DataFrame({"kind": "char", "term": terms, "tf": tf, "df": df})
+            if terms:
+                yield _frame("char", terms, tf, df)
         tf, df = word_totals(texts)
-        yield pd.DataFrame({"kind": "word", "term": list(tf), "tf": list(tf.values()), "df": [df[t] for t in tf]})
-        yield pd.DataFrame({"kind": ["none"], "term": [""], "tf": [len(texts)], "df": [len(texts)]})
+        if tf:
+            yield _frame("word", list(tf), list(tf.values()), [df[t] for t in tf])
+        if texts:
+            yield _frame("none", [""], [len(texts)], [len(texts)])
