@@ -152,7 +152,7 @@ ROUND4 = "printf('%.4f', {})::DOUBLE".format
 
 GAPS = """gaps AS (SELECT *, epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events),
 sess AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 3600000000 THEN 1 ELSE 0 END)
-  OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM gaps)"""
+  OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS session FROM gaps)"""
 SESSION_TURNS = """sturns AS (SELECT user_id, session, us AS at_us, least(value, 99.0) / 100 AS risk, event_type AS head, props AS text, props AS masked,
   row_number() OVER (PARTITION BY user_id, session ORDER BY us) AS n FROM sess),
 swin AS (SELECT *, CASE WHEN n > 1 THEN right(array_to_string(list_append(
