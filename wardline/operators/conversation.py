@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.numbers import rounded
 from wardline.operators import blocks
-from wardline.operators.blocks import BLOCK, DEFAULT_BLOCK_ROWS, HOT, OWN
+from wardline.operators.blocks import BLOCK, DEFAULT_BLOCK_ROWS, OWN
 from wardline.settings import ConversationSettings
 
 WindowScorer = Callable[[DataFrame], DataFrame]

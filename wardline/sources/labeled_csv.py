@@ -11,8 +11,8 @@ from wardline.settings import LABEL_CLASSES
 def labeled_csv(spark: SparkSession, path: str) -> DataFrame:
     """``src_order, row_order, text, label`` of every ``*.csv`` under ``path``, files in name order.
 
-    Raises when there is no file, a column is missing, or a label is unknown. Columns are matched by
-    name, so files may order them differently; the check reads one header line per file.
+    Raises when there is no file, a column is missing, headers disagree, or a label is unknown (the first
+    such row ends the check).
     """
     raw = (
         spark.read.option("header", True).option("multiLine", True).option("escape", '"')
