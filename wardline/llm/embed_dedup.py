@@ -184,7 +184,7 @@ def near_duplicates(
     block by block: every link inside a component is counted, whatever its size.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing and stay (n_links 0). So do rows with
-    a null id, whose component is null. Repeated rows are copies of each other. Vectors of different length never link.
+    a null id, whose component is null. Repeated rows are copies of each other; different vectors with one id are one node. Vectors of different length never link.
     """
     need(vectors, [id, vector])
     rows = pick_vectors(vectors, id, vector)
@@ -193,10 +193,10 @@ def near_duplicates(
     inside = united.unionByName(united.select(F.col("root").alias("node"), "root").distinct())
     full = inside.join(classes.select(F.col("rid").alias("node"), "weight", "unit"), "node")
     links = component_links(full, threshold)
-    per_class = classes.select("rid", "weight").join(united.withColumnRenamed("node", "rid"), "rid", "left").join(
+    per_class = classes.select("digest", "rid", "weight").join(united.withColumnRenamed("node", "rid"), "rid", "left").join(
         links.withColumnRenamed("node", "rid"), "rid", "left").select(
-        "rid", F.coalesce("root", "rid").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    linked = member.join(per_class, "rid").select("id", "n_links", "component_id")
+        "digest", F.coalesce("root", "rid").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    linked = member.join(per_class, "digest").select("id", "n_links", "component_id")
     alone = rows.where("unit is null or id is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(
         F.col("id").alias(id), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -54,6 +54,20 @@ def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    from wardline.llm.jaccard_join import similar_texts
+
+    return similar_texts(table(spark, sf, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    from wardline.llm.toxicity import held_out, score
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return score(docs, table(spark, sf, "labels")).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"))
+
+
 def op8_chat(spark: SparkSession, sf: str) -> DataFrame:
     from wardline.llm import chat
 
@@ -127,6 +141,6 @@ SELECT doc_id, size, source_size, target,
 
 QUERIES = {
     "op2_warc": op2_warc, "op5_embedding_near_dedup": op5_embedding_near_dedup, "op6_packing": op6_packing,
-    "op8_chat": op8_chat, "op10_mixing": op10_mixing,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing,
 }
 ORACLE = {"op2_warc": OP2_SQL, "op5_embedding_near_dedup": OP5_SQL, "op8_chat": OP8_SQL, "op10_mixing": OP10_SQL}

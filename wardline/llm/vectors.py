@@ -36,12 +36,12 @@ def pick_vectors(vectors: DataFrame, id: str, vector: str) -> DataFrame:
 
 
 def distinct_vectors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal vectors: ``rid`` (smallest id), ``weight`` (rows), ``dim, raw, unit``; and members ``id, rid``.
+    """Classes of equal vectors: ``rid`` (smallest id), ``weight`` (rows), ``dim, raw, unit``; and members ``id, digest``.
 
-    Copies collapse before the shuffle. Members find their class by the vector's 128-bit digest.
+    Copies collapse before the shuffle; a class is known by its vector's 128-bit ``digest``.
     """
     valid = rows.where("unit is not null and id is not null").withColumn("digest", F.md5("raw"))
     classes = cut(valid.groupBy("digest").agg(
         F.min("id").alias("rid"), F.count("*").alias("weight"), F.first("dim").alias("dim"), F.first("raw").alias("raw"),
         F.first("unit").alias("unit")))
-    return classes, valid.select("id", "digest").join(classes.select("digest", "rid"), "digest").select("id", "rid")
+    return classes, valid.select("id", "digest")
