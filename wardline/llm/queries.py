@@ -27,6 +27,16 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 FROM m"""
 
 
+def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
+    from wardline.llm import sanitise as S
+
+    rows = S.sanitise(table(spark, sf, "documents").select("doc_id", "text"))
+    base = F.filter("san_spans", lambda s: s["kind"].isin(*S.PATTERNS))
+    return rows.select(
+        "doc_id", *[F.size(f"san_{k}").cast("long").alias(f"n_{k}") for k in S.PATTERNS],
+        F.sha2(S.joined(base), 256).alias("base_sha256"), S.joined(F.col("san_spans")).alias("spans"))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from wardline.llm.embed_dedup import near_duplicates
 
@@ -140,7 +150,7 @@ SELECT doc_id, size, source_size, target,
 
 
 QUERIES = {
-    "op2_warc": op2_warc, "op5_embedding_near_dedup": op5_embedding_near_dedup, "op6_packing": op6_packing,
+    "op2_warc": op2_warc, "op3_pii": op3_pii, "op5_embedding_near_dedup": op5_embedding_near_dedup, "op6_packing": op6_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing,
 }
 ORACLE = {"op2_warc": OP2_SQL, "op5_embedding_near_dedup": OP5_SQL, "op8_chat": OP8_SQL, "op10_mixing": OP10_SQL}
