@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf: str) -> DataFrame:
+    from wardline.llm.nn_descent import nearest
+
+    return nearest(table(spark, sf, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
     from wardline.llm.warc import archive_pages
 
@@ -150,7 +156,7 @@ SELECT doc_id, size, source_size, target,
 
 
 QUERIES = {
-    "op2_warc": op2_warc, "op3_pii": op3_pii, "op5_embedding_near_dedup": op5_embedding_near_dedup, "op6_packing": op6_packing,
+    "op1_ann": op1_ann, "op2_warc": op2_warc, "op3_pii": op3_pii, "op5_embedding_near_dedup": op5_embedding_near_dedup, "op6_packing": op6_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing,
 }
 ORACLE = {"op2_warc": OP2_SQL, "op5_embedding_near_dedup": OP5_SQL, "op8_chat": OP8_SQL, "op10_mixing": OP10_SQL}
