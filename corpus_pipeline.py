@@ -5,15 +5,54 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from wardline.llm import jaccard_join, mixing, packing, sanitise, toxicity
+from wardline.llm.common import checkpoint_dir
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled model scores below 0.5."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score(docs, labels).where("tox_predicted = 0").select(docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return jaccard_join.deduplicate(docs)
+
+
+def sanitise_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without personal data and without terms that give it away; ``n_chars`` follows."""
+    clean = sanitise.sanitise(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("san_clean")))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.when(
+            F.size("san_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return clean.select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target weight takes it."""
+    return mixing.emit(mixing.mix(docs)).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences, with their ids."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+
+
+STAGES = [
+    ("toxicity", reject_toxic), ("near-duplicates", keep_one_of_each), ("personal data", sanitise_texts),
+    ("mixing", mix_sources), ("packing", pack_sequences),
+]
+#: Classifier, similarity join and tokenizer have no SQL form; tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each stage's rows are written to the shared folder and read by the next."""
-    from wardline.llm.common import checkpoint_dir
-
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):

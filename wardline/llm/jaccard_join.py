@@ -299,3 +299,19 @@ def similar_texts(
     alone = sketched.where("digest is null or id is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone).select(
         F.col("id").alias(id), "class_id", "n_links", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of each class, the one with the smallest id; of rows that repeat an id and a text, one.
+
+    Rows with a null id and different texts under one id all stay. Only ids travel; texts are joined once, and not at all
+    while the removed ids are few enough to broadcast.
+    """
+    found = cut(similar_texts(docs, id=id, text=text, **how))
+    gone = found.where("not kept").select(id).distinct()
+    repeated = cut(found.where("kept").groupBy(id).count().where(F.col("count") > 1).where(F.col(id).isNotNull()).select(id))
+    rest = docs.join(gone, id, "left_anti")
+    if not repeated.limit(1).count():
+        return rest.select(docs.columns)
+    twice = rest.join(repeated, id, "left_semi").dropDuplicates([id, text])
+    return rest.join(repeated, id, "left_anti").select(docs.columns).unionByName(twice.select(docs.columns))
