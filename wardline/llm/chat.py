@@ -81,7 +81,8 @@ def format_branches(nodes: DataFrame, top: int = 1) -> DataFrame:
     """``tree, branch, formatted, loss``: one conversation per chosen path, and the (start, length) of its trained texts.
 
     Template: ``<s>role\\n`` + body + ``</s>`` per turn; the body is ``[INST] text [/INST]``, or the bare text for the
-    assistant, whose texts alone bear loss. Role and text are escaped. Offsets count code points of ``formatted``.
+    assistant, whose texts alone bear loss. Role and text are escaped, a
+    role's line breaks too. Offsets count code points of ``formatted``.
     The whole job is JVM expressions; a conversation is one row, so the longest one must fit in a row.
     """
     need(nodes, ["tree", "node", "parent", "score", "role", "text"])
@@ -89,7 +90,8 @@ def format_branches(nodes: DataFrame, top: int = 1) -> DataFrame:
     path = branches(nodes, top)
     body = escape(F.coalesce("text", F.lit("")))
     trained = F.coalesce(F.col("role") == LOSS_ROLE, F.lit(False))
-    head = F.concat(F.lit(OPEN), escape(F.coalesce("role", F.lit(""))), F.lit("\n"))
+    role = F.replace(escape(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit("~3"))
+    head = F.concat(F.lit(OPEN), role, F.lit("\n"))
     whole = F.concat(head, F.when(trained, body).otherwise(F.concat(F.lit(ASK), body, F.lit(ASKED))), F.lit(CLOSE))
     rows = path.join(nodes.select("node", "role", "text"), "node").select(
         "tree", "branch", "position", whole.alias("whole"), F.length(whole).alias("width"),
@@ -110,7 +112,7 @@ def parse(formatted: Column) -> Column:
     def turn(part: Column) -> Column:
         inner = F.substring(part, F.lit(1), F.length(part) - len(CLOSE))
         at = F.instr(inner, "\n")
-        role = unescape(F.substring(inner, F.lit(1), at - 1))
+        role = unescape(F.replace(F.substring(inner, F.lit(1), at - 1), F.lit("~3"), F.lit("\n")))
         body = F.substring(inner, at + 1, F.length(inner) - at)
         asked = F.substring(body, F.lit(len(ASK) + 1), F.length(body) - len(ASK) - len(ASKED))
         return F.struct(role.alias("role"), unescape(F.when(role == LOSS_ROLE, body).otherwise(asked)).alias("text"))

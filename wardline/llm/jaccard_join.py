@@ -277,18 +277,21 @@ def similar_texts(
             break
     groups = components(links.select("a", "b"))
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    groups = groups.join(classes.select(F.col("rid").alias("node"), "weight"), "node")
 
     def itemize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                items = pa.array([shingles(t.as_py(), words).tobytes() for t in part.column("text")], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), items], ["root", "node", "weight", "items"])
+                items = [shingles(t.as_py(), words).tobytes() for t in part.column("text")]
+                digest = pa.array([hashlib.md5(x).digest() for x in items], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), digest, pa.array(items, pa.binary())], ["root", "node", "digest", "items"])
 
     texts = docs.select(F.col(id).cast("long").alias("node"), F.col(text).alias("text"))
-    members = texts.join(groups, "node").select("root", "node", "weight", "text").mapInArrow(
-        itemize, "root long, node long, weight long, items binary").dropDuplicates(["node"])
+    members = texts.join(groups, "node").select("root", "node", "text").mapInArrow(
+        itemize, "root long, node long, digest binary, items binary").dropDuplicates(["node", "digest"])
+    members = members.join(classes.select("digest", F.col("rid").alias("node"), "weight"), ["digest", "node"]).select(
+        "root", "node", "weight", "items")
     exact = cut(verified(members, threshold))
     classes_of = components(exact.where("low is not null").select(F.col("node").alias("a"), F.col("low").alias("b")))
     counted = exact.groupBy("node").agg(F.sum("links").alias("links"))

@@ -61,7 +61,7 @@ def mix(
     documents, other columns pass through unchanged (columns called ``mix_*`` are replaced). An empty table gives none.
     """
     need(docs, [id, text, source])
-    spark = docs.sparkSession
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("mix_")])
     sized = docs.withColumns({
         "mix_size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"),
         "mix_key": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("t")),
@@ -93,32 +93,29 @@ def mix(
         "ratio": F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)),
         "offset": hex_number(F.concat(F.lit(f"{seed}|"), "mix_key")) / F.lit(float(1 << 32)),
     }))
-    copies = F.floor(F.col("ratio") * F.col("place") + F.col("offset")) - F.floor(
-        F.col("ratio") * (F.col("place") - 1) + F.col("offset"))
-    inside = Window.partitionBy("mix_key", "mix_class", "mix_bucket").orderBy(
-        "mix_size", "mix_hash", F.col(id), F.xxhash64(F.col(text)))
+    # From here on every helper column is called mix_*, as the rows carry the caller's columns.
+    keys = ["mix_key", "mix_class", "mix_bucket"]
+    step, at, offset = F.col("mix_ratio"), F.col("mix_place"), F.col("mix_offset")
+    copies = F.floor(step * at + offset) - F.floor(step * (at - 1) + offset)
+    inside = Window.partitionBy(*keys).orderBy("mix_size", "mix_hash", F.col(id), F.xxhash64(F.col(text)))
 
     def placed(rows: DataFrame, of: DataFrame) -> DataFrame:
-        rows = rows.withColumn("mix_bucket", bucket).join(of, ["mix_key", "mix_class", "mix_bucket"])
-        return rows.withColumn("place", F.col("first") + F.row_number().over(inside)).withColumn("mix_copies", copies)
+        rows = rows.withColumn("mix_bucket", bucket).join(of, keys)
+        return rows.withColumn("mix_place", F.col("mix_first") + F.row_number().over(inside)).withColumn("mix_copies", copies)
 
+    of = cells.select(*keys, *[F.col(c).alias(f"mix_{c}") for c in ("first", "ratio", "offset", "large", "source_size", "target")])
     slim = sized.select(F.col(id), F.col(text), "mix_key", "mix_class", "mix_size", "mix_hash")
-    of = cells.select("mix_key", "mix_class", "mix_bucket", "first", "ratio", "offset", "large", "source_size", "target")
-    taken = placed(slim, of.where("large")).groupBy("mix_key").agg(F.sum(F.col("mix_copies") * F.col("mix_size")).alias("taken"))
+    taken = placed(slim, of.where("mix_large")).groupBy("mix_key").agg(F.sum(F.col("mix_copies") * F.col("mix_size")).alias("taken"))
     rest = cells.where("not large").groupBy("mix_key").agg(F.sum("words").alias("rest"))
     left = rest.join(taken, "mix_key", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
-    of = cut(of.join(left, "mix_key", "left").withColumn("ratio", F.when(F.col("large"), F.col("ratio")).when(
-        F.coalesce("rest", F.lit(0)) > 0,
-        F.greatest(F.lit(0.0), F.least(F.lit(float(ceiling)), (F.col("target") - F.col("taken")) / F.col("rest"))),
-    ).otherwise(F.lit(0.0))).drop("taken", "rest"))
-
-    keep = [c for c in docs.columns if c not in ("mix_size", "mix_source_size", "mix_target", "mix_copies")]
-    return placed(sized, of).select(
-        *[F.col(f"`{c}`") for c in keep], "mix_size", F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"), F.col("mix_copies").cast("long").alias("mix_copies"))
+    ratio = F.when(F.col("mix_large"), step).when(F.coalesce("rest", F.lit(0)) > 0, F.greatest(
+        F.lit(0.0), F.least(F.lit(float(ceiling)), (F.col("mix_target") - F.col("taken")) / F.col("rest")))).otherwise(F.lit(0.0))
+    of = cut(of.join(left, "mix_key", "left").withColumn("mix_ratio", ratio).drop("taken", "rest"))
+    keep = [F.col(f"`{c}`") for c in docs.columns]
+    return placed(sized, of).select(*keep, "mix_size", "mix_source_size", "mix_target", F.col("mix_copies").cast("long").alias("mix_copies"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
     """The mix itself: each row as often as it is taken, without the ``mix_*`` columns."""
-    rows = mixed.where("mix_copies > 0").withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    rows = mixed.where("mix_copies > 0").withColumn("mix_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
     return rows.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")

@@ -130,7 +130,7 @@ def disclosing_terms(based: DataFrame, term_part: float, support: int, limit: in
     hold it; a term's share of it: log2 of how much likelier the two meet near each other than by chance, over that
     information. 1 means that the term never occurs without the entity.
     """
-    keyed = based.withColumn("key", F.md5("san_text"))
+    keyed = based.select(F.md5("san_text").alias("key"), "san_text", *[f"san_{k}" for k in PATTERNS])
     spans = keyed.select("key", "san_text", all_base().alias("spans")).where(F.size("spans") > 0)
     near = spans.select("key", "san_text", F.explode("spans").alias("span")).select(
         "key", entity(F.col("span")).alias("entity"), F.explode_outer(_near(F.col("san_text"), F.col("span"))).alias("term"))
@@ -180,8 +180,9 @@ def sanitise(
         rows = rows.withColumn("san_more", empty)
     else:
         terms = cut(terms)
-        keyed = rows.withColumn("key", F.md5("san_text"))
-        rows = sized_join(keyed, terms.withColumnRenamed("terms", "san_terms"), "key", "left", limit).drop("key")
+        keyed = rows.withColumn("san_key", F.md5("san_text"))
+        terms = terms.select(F.col("key").alias("san_key"), F.col("terms").alias("san_terms"))
+        rows = sized_join(keyed, terms, "san_key", "left", limit).drop("san_key")
         pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("san_terms", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))
         rows = rows.withColumn("san_pattern", pattern).withColumn("san_values", F.when(
             F.col("san_terms").isNull(), F.array().cast("array<string>")).otherwise(

@@ -7,8 +7,10 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,17 @@ RECORDS = ("archive string, offset long, record_id string, record_type string, p
            "stated_sha1 string, stated_bytes long, payload_sha1 string, payload_bytes long, payload binary, digest_ok boolean")
 
 
+class Page(NamedTuple):
+    """A row to write; null ids and addresses are left out of the record."""
+
+    page_id: int | None
+    url: str | None
+    payload: bytes
+    sha1: str
+    role: str
+    refers_to: int | None
+
+
 class WarcError(ValueError):
     """An archive that breaks the format: cut off, wrong length, wrong digest."""
 
@@ -36,8 +49,8 @@ def record_id(page_id, sha1: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{sha1}')}>"
 
 
-def make_record(row, date: str) -> bytes:
-    """One gzip member. ``row``: ``page_id, url, payload, sha1, role, refers_to`` (null ids and addresses are left out)."""
+def make_record(row: Page, date: str) -> bytes:
+    """One gzip member."""
     payload = row.payload or b""
     http = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n").encode()
     revisit = row.role == "revisit"
@@ -65,12 +78,13 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     again leaves at most a file that nobody reads.
     """
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = opened(folder)
         store.create_dir(root, recursive=True)
-        made, out, path = [], None, None
+        made, out, path, records, size = [], None, None, 0, 0
         for batch in batches:
-            for row in batch.astype(object).where(batch.notna(), None).itertuples(index=False):
+            for values in zip(*batch.columns):
+                row = Page(*(v.as_py() for v in values))
                 if out is None:
                     path, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{root}/{path}")
@@ -84,10 +98,11 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
         if out is not None:
             out.close()
             made.append((path, records, size))
-        yield pd.DataFrame(made, columns=["archive", "records", "bytes"])
+        yield pa.RecordBatch.from_arrays([
+            pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64()),
+            pa.array([m[2] for m in made], pa.int64())], ["archive", "records", "bytes"])
 
-    return cut(pages.select("page_id", "url", "payload", "sha1", "role", "refers_to").mapInPandas(
-        write, "archive string, records long, bytes long"))
+    return cut(pages.select(*Page._fields).mapInArrow(write, "archive string, records long, bytes long"))
 
 
 def members(stream, chunk: int = CHUNK) -> Iterator[tuple[int, bytes]]:
