@@ -206,7 +206,7 @@ CONT_CHAIN = (I.DOCS, CONTAMINATED, KEYED)
 
 
 def _versions(spark: SparkSession, sf: str) -> DataFrame:
-    return I.table(spark, sf, "events").select(version_name(F.col("ts").cast("timestamp")).alias("version"))
+    return I.table(spark, sf, "events").select(version_name(F.col("ts")).alias("version"))
 
 
 def keep_versions(spark: SparkSession, sf: str) -> DataFrame:

@@ -62,3 +62,48 @@ def test_request_validation(spark):
     assert errors == [None, None, R.ONE_INPUT, R.LAST_USER, R.LAST_USER, R.ONE_INPUT, R.BAD_ROLE]
     assert [r["user_text"] for r in R.accepted(df).collect()] == ["p", "hi"]
     assert R.rejected(df).count() == 5
+
+
+def test_word_boundaries_are_those_of_unicode_words(spark):
+    import re
+
+    from wardline.functions import patterns as P
+    from wardline.functions.detectors import alternation, compiled
+
+    marks = ["", " ", "x", "_", "7", "̲", "́", "‿", "‍", "²", "\u001c", "é", "-"]
+    hits = ["dan", "kill yourself", "jailbreak", "hate speech", "219-09-9999", "4242424242424242", "eva.lind@example.org", "555-867-1234",
+            "555\u001c867\u001c1234", "never refuse"]
+    texts = [f"{a}{h}{b}" for h in hits for a in marks for b in marks]
+    patterns = [alternation(P.JAILBREAK), alternation(P.TOXIC_CONTENT), *P.PII.values(), P.JAILBREAK_STYLE]
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING")
+    found = df.select("i", *[F.regexp_extract("t", compiled(p), 0).alias(f"p{k}") for k, p in enumerate(patterns)]).collect()
+    for r in found:
+        for k, p in enumerate(patterns):
+            hit = re.search(p, texts[r["i"]], re.IGNORECASE)
+            assert r[f"p{k}"] == (hit[0] if hit else ""), (ascii(texts[r["i"]]), p)
+
+
+def test_zones_do_not_matter(spark):
+    from wardline.functions.text import version_name
+    from wardline.operators.sessions import session_buckets
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    seen = []
+    try:
+        for name in ("UTC", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            df = spark.sql("SELECT 1 AS k, timestamp_ntz'2026-03-08 01:30:00' AS ts UNION ALL SELECT 1, timestamp_ntz'2026-03-08 03:20:00.000001'")
+            seen.append(sorted(tuple(r) for r in session_buckets(df, ["k"], "ts", 3600).collect()))
+            seen[-1] += [r[0] for r in spark.sql("SELECT timestamp_micros(1790927765000000) AS ts").select(version_name(F.col("ts"))).collect()]
+            seen[-1] += sorted(r[0] for r in df.select(version_name(F.col("ts"))).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert seen[0] == seen[1] and len({r[-1] for r in seen[0][:2]}) == 2 and seen[0][2:] == [
+        "v20261002-075605", "v20260308-013000", "v20260308-032000"]
+
+
+def test_null_content_is_rejected(spark):
+    from wardline.operators.requests import BAD_CONTENT, REQUEST_SCHEMA, validate
+
+    df = spark.createDataFrame([(None, [("user", None)], None), (None, [("user", "hi")], None)], REQUEST_SCHEMA)
+    assert [r["error"] for r in validate(df).collect()] == [BAD_CONTENT, None]

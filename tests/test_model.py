@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,20 +63,16 @@ def test_vectors_match_the_long_form(model):
         assert got == pytest.approx(expected.get(r["id"], {}))
 
 
-def test_pluggable_and_neural_scorers(spark):
-    class Session:
-        def run(self, _, feeds):
-            total = (feeds["input_ids"] * feeds["attention_mask"]).sum(axis=1, keepdims=True) / 100.0
-            return [np.concatenate([total, -total, total * 0], axis=1)]
+def test_pluggable_scorer(spark):
+    def load():
+        return lambda texts: pd.DataFrame({
+            "prompt_injection": texts.str.len() / 100.0, "jailbreak": texts.str.count("a") / 10.0, "toxic": 0.5}, index=texts.index)
 
-    load = scoring.onnx_scorer(b"", lambda t: [0, *map(len, t.split()), 9], 6, {"toxic": 1.0}, session_factory=lambda _: Session())
     scoring.register_scorer("stub", load)
-    df = spark.createDataFrame([("a bb ccc dddd eeeee ffffff",), ("a",)], "text STRING")
-    rows = scoring.score_with(df, "stub").collect()
-    logistic = lambda z: 1 / (1 + math.exp(-z))
-    assert rows[0]["heads"]["prompt_injection"] == pytest.approx(logistic((3 + 4 + 5 + 6 + 9) / 100))
-    assert rows[1]["heads"]["jailbreak"] == pytest.approx(logistic(-0.1))
-    assert rows[1]["heads"]["toxic"] == pytest.approx(logistic(-1.0))
+    df = spark.createDataFrame([("a bb ccc dddd eeeee ffffff",), ("aaa",), (None,)], "text STRING")
+    heads = [r["heads"] for r in scoring.score_with(df, "stub").collect()]
+    assert [h["prompt_injection"] for h in heads] == [0.26, 0.03, 0.0]
+    assert [h["jailbreak"] for h in heads] == [0.1, 0.3, 0.0] and all(h["toxic"] == 0.5 for h in heads)
 
 
 def test_ranking_quality_against_brute_force(spark):
@@ -153,5 +150,6 @@ def test_train_gate_ship_evaluate_and_follow(spark, tmp_path):
 
 def test_eval_sets_have_the_documented_shape(spark):
     counts = {r["label"]: r["count"] for r in eval_prompts(spark).groupBy("label").count().collect()}
-    assert counts == {"safe": 24, "prompt_injection": 8, "jailbreak": 8, "toxic": 9}
-    assert adversarial_prompts(spark).count() == 10
+    assert set(counts) == {"safe", "prompt_injection", "jailbreak", "toxic"} and min(counts.values()) >= 5
+    attacks = {r["label"] for r in adversarial_prompts(spark).collect()}
+    assert attacks == {"prompt_injection", "jailbreak"}

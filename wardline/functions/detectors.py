@@ -10,6 +10,27 @@ from pyspark.sql import functions as F
 from wardline.functions import patterns as P
 
 FLAGS = "(?iuU)"
+# The matching engine's own \b and \s differ from the guard's: it counts marks, joiners and connector punctuation as word
+# characters, and leaves the four information separators out of white space.
+_WORD = r"[\p{L}\p{N}_]"
+_BOUNDARY = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+_SEPARATORS = r"\x1C-\x1F"
+
+
+def compiled(pattern: str) -> str:
+    """A fixed pattern as this engine must read it: flags, explicit word boundaries, white space with separators."""
+    out, in_class, i = [], False, 0
+    while i < len(pattern):
+        token = pattern[i:i + 2] if pattern[i] == "\\" else pattern[i]
+        if token == "\\b" and not in_class:
+            out.append(_BOUNDARY)
+        elif token == "\\s":
+            out.append(rf"\s{_SEPARATORS}" if in_class else rf"[\s{_SEPARATORS}]")
+        else:
+            in_class = token == "[" or (in_class and token != "]")
+            out.append(token)
+        i += len(token)
+    return FLAGS + "".join(out)
 
 
 def alternation(pieces: tuple[str, ...]) -> str:
@@ -31,7 +52,7 @@ def may_match(norm: Column, name: str) -> Column:
 
 def first_match(norm: Column, name: str) -> Column:
     """Text of the first hit of detector ``name`` in normalized text, or the empty string."""
-    found = F.when(may_match(norm, name), F.regexp_extract(norm, FLAGS + DETECTORS[name], 1))
+    found = F.when(may_match(norm, name), F.regexp_extract(norm, compiled(DETECTORS[name]), 1))
     return F.when(norm.isNotNull(), F.coalesce(found, F.lit("")))
 
 

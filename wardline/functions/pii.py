@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import patterns as P
-from wardline.functions.detectors import FLAGS, check_result
+from wardline.functions.detectors import check_result, compiled
 
 KINDS = tuple(P.PII)
 _THREE_DIGITS = r"[0-9]{3}|\p{Nd}{3}"
@@ -19,7 +19,7 @@ def redaction(kind: str) -> str:
 def mask(text: Column) -> Column:
     """P1-P4 as one nested expression, for use inside ``transform`` over message arrays."""
     for kind, pattern in P.PII.items():
-        text = F.regexp_replace(text, FLAGS + pattern, redaction(kind))
+        text = F.regexp_replace(text, compiled(pattern), redaction(kind))
     return text
 
 
@@ -36,12 +36,12 @@ def with_masked(df: DataFrame, text: str = "text", out: str = "masked", counts:
         gate = gates.get(kind, F.col("_digits"))
         after = f"_after_{kind}"
         staged = staged.withColumn(
-            after, F.when(gate, F.regexp_replace(F.col(before), FLAGS + pattern, redaction(kind))).otherwise(F.col(before))
+            after, F.when(gate, F.regexp_replace(F.col(before), compiled(pattern), redaction(kind))).otherwise(F.col(before))
         )
         before = after
     befores = (text, *[f"_after_{k}" for k in KINDS[:-1]])
     finds = [
-        F.when(F.col(f"_after_{k}") != F.col(b), F.regexp_count(F.col(b), F.lit(FLAGS + P.PII[k])))
+        F.when(F.col(f"_after_{k}") != F.col(b), F.regexp_count(F.col(b), F.lit(compiled(P.PII[k]))))
         .otherwise(F.lit(0)).alias(k)
         for k, b in zip(KINDS, befores)
     ]

@@ -186,5 +186,10 @@ def token_windows(ids: Column, max_len: int, max_windows: int = 8) -> Column:
 
 
 def version_name(ts: Column) -> Column:
-    """T19. Sortable UTC version string."""
-    return F.date_format(ts, "'v'yyyyMMdd-HHmmss")
+    """T19. Sortable UTC version string; a timestamp without a zone counts as UTC."""
+    seconds = F.unix_seconds(ts.cast("timestamp"))
+    day = F.date_format(F.date_from_unix_date(F.floor(seconds / 86400).cast("int")), "yyyyMMdd")
+    rest = F.pmod(seconds, F.lit(86400))
+    parts = [F.lpad(F.floor(x).cast("string"), 2, "0") for x in (rest / 3600, F.pmod(rest / 60, F.lit(60)), F.pmod(rest, F.lit(60)))]
+    named = F.concat(F.lit("v"), day, F.lit("-"), *parts)
+    return F.when(F.typeof(ts) == "timestamp_ntz", F.date_format(ts, "'v'yyyyMMdd-HHmmss")).otherwise(named)

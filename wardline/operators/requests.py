@@ -11,6 +11,7 @@ REQUEST_SCHEMA = "prompt STRING, messages ARRAY<STRUCT<role: STRING, content: ST
 ROLES = ("system", "user", "assistant")
 ONE_INPUT = "send exactly one of `prompt` or `messages`"
 LAST_USER = "`messages` must end with a user message"
+BAD_CONTENT = "`content` must be text"
 BAD_ROLE = "`role` must be system, user or assistant"
 
 
@@ -18,9 +19,11 @@ def request_error() -> Column:
     """F5. Null for a valid request, else why it is rejected."""
     messages = F.col("messages")
     wrong_role = F.exists(messages, lambda m: m["role"].isNull() | ~m["role"].isin(*ROLES))
+    no_content = F.exists(messages, lambda m: m["content"].isNull())
     last_role = F.try_element_at(messages, F.lit(-1))["role"]
     return (
         F.when(messages.isNotNull() & F.coalesce(wrong_role, F.lit(False)), BAD_ROLE)
+        .when(messages.isNotNull() & F.coalesce(no_content, F.lit(False)), BAD_CONTENT)
         .when(F.col("prompt").isNull() == messages.isNull(), ONE_INPUT)
         .when(messages.isNotNull() & ((F.size(messages) == 0) | ~F.coalesce(last_role == "user", F.lit(False))), LAST_USER)
     )

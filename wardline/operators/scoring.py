@@ -1,4 +1,4 @@
-"""Linear heads over TF-IDF blocks (J4, A4, T10), and pluggable scorers (V1, V4).
+"""Linear heads over TF-IDF blocks (J4, A4, T10), and pluggable scorers (V1).
 
 A model is one wide table ``kind, term, idf, <head>..`` plus an intercept per head. Its rows are bounded
 by the vocabulary caps, which ``checked_model`` verifies before the table is broadcast.
@@ -6,7 +6,7 @@ by the vocabulary caps, which ``checked_model`` verifies before the table is bro
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -100,10 +100,10 @@ def register_scorer(name: str, load: Callable[[], BatchScorer], heads: Sequence[
 
 
 def score_with(df: DataFrame, scorer: str, text: str = "text", out: str = "heads") -> DataFrame:
-    """V1, V4. Add a ``map(head -> probability)`` column from a registered scorer, Arrow batch by batch.
+    """V1. Add a ``map(head -> probability)`` column from a registered scorer, Arrow batch by batch.
 
-    Only the text travels to Python. Texts of a batch are scored in order of length, so a padded neural
-    batch wastes little.
+    Only the text travels to Python. Texts of a batch are scored in order of length, so a scorer
+    that pads its batch wastes little.
     """
     load, heads = _SCORERS[scorer]
     schema = T.StructType([T.StructField(h, T.DoubleType()) for h in heads])
@@ -120,54 +120,3 @@ def score_with(df: DataFrame, scorer: str, text: str = "text", out: str = "heads
     scored = df.withColumn("_scored", run(F.col(text)))
     pairs = [x for h in heads for x in (F.lit(h), F.col("_scored")[h])]
     return scored.withColumn(out, F.create_map(*pairs)).drop("_scored")
-
-
-def onnx_scorer(
-    model_bytes: bytes, encode: Callable[[str], list[int]], max_len: int, logit_bias: Mapping[str, float],
-    heads: Sequence[str] = HEADS, max_windows: int = 8, session_factory: Callable[[bytes], object] | None = None,
-) -> Callable[[], BatchScorer]:
-    """V4. Loader of a neural scorer for ``register_scorer``: token windows, max-pooled, calibrated.
-
-    ``encode`` returns ids with the special tokens at both ends. The session is made inside the task.
-    """
-
-    def load() -> BatchScorer:
-        import numpy as np
-
-        if session_factory is not None:
-            session = session_factory(model_bytes)
-        else:
-            import onnxruntime
-
-            session = onnxruntime.InferenceSession(model_bytes, providers=["CPUExecutionProvider"])
-        bias = np.array([logit_bias.get(h, 0.0) for h in heads])
-
-        def score(texts: pd.Series) -> pd.DataFrame:
-            owners, rows = [], []
-            for owner, text in enumerate(texts):
-                for window in id_windows(encode(text), max_len, max_windows):
-                    owners.append(owner)
-                    rows.append(window)
-            width = max(map(len, rows), default=1)
-            ids = np.zeros((len(rows), width), dtype=np.int64)
-            seen = np.zeros_like(ids)
-            for i, row in enumerate(rows):
-                ids[i, : len(row)], seen[i, : len(row)] = row, 1
-            logits = session.run(None, {"input_ids": ids, "attention_mask": seen})[0]
-            p = pd.DataFrame(1.0 / (1.0 + np.exp(-(logits - bias))), columns=list(heads))
-            return p.groupby(owners).max().reindex(range(len(texts)))
-
-        return score
-
-    return load
-
-
-def id_windows(ids: list[int], max_len: int, max_windows: int = 8) -> list[list[int]]:
-    """T12 for one id list inside a task; the column twin is ``functions.text.token_windows``."""
-    body, width = ids[1:-1], max_len - 2
-    last_start = max(len(body) - width, 0)
-    starts = list(range(0, last_start + 1, width // 2))
-    picked = starts[:max_windows]
-    if len(picked) < max_windows and starts[-1] < last_start:
-        picked.append(last_start)
-    return [[ids[0], *body[s : s + width], ids[-1]] for s in picked]

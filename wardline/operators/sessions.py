@@ -11,12 +11,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 MICROS = 1_000_000
 
 
-def _micros(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+def micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970. A timestamp without a zone counts as UTC, whatever the session's zone."""
+    if df.schema[ts].dataType != TimestampNTZType():
+        return F.unix_micros(F.col(ts).cast("timestamp"))
+    since = F.col(ts) - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    day, hour, minute = (F.extract(F.lit(part), since).cast("long") for part in ("DAY", "HOUR", "MINUTE"))
+    second = (F.extract(F.lit("SECOND"), since) * MICROS).cast("long")
+    return ((day * 24 + hour) * 60 + minute) * (60 * MICROS) + second
 
 
 def _bucket(at: Column, ttl_seconds: int) -> Column:
@@ -27,7 +34,7 @@ def _bucket(at: Column, ttl_seconds: int) -> Column:
 
 def session_buckets(df: DataFrame, keys: Sequence[str], ts: str, ttl_seconds: int) -> DataFrame:
     """``keys, bucket, lo, hi, n, session``: one row per key and TTL-wide bucket, sessions numbered from 1."""
-    at = _micros(ts)
+    at = micros(df, ts)
     spans = df.groupBy(*keys, _bucket(at, ttl_seconds).alias("bucket")).agg(
         F.min(at).alias("lo"), F.max(at).alias("hi"), F.count(F.lit(1)).alias("n")
     )
@@ -52,7 +59,7 @@ def with_session(df: DataFrame, keys: Sequence[str], ts: str, ttl_seconds: int)
     """Every row with its session number. A hot ``(key, bucket)`` is split by adaptive skew join."""
     buckets = session_buckets(df, keys, ts, ttl_seconds).select(*keys, "bucket", "session")
     return (
-        df.withColumn("bucket", _bucket(_micros(ts), ttl_seconds))
+        df.withColumn("bucket", _bucket(micros(df, ts), ttl_seconds))
         .join(buckets, [*keys, "bucket"])
         .drop("bucket")
     )

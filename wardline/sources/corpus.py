@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions import patterns as P
-from wardline.functions.detectors import FLAGS
+from wardline.functions.detectors import FLAGS, compiled
 from wardline.functions.hashing import crc, keep_one_in
 from wardline.functions.text import strip
 from wardline.operators.corpus import union_sources
@@ -21,7 +21,7 @@ from wardline.operators.corpus import union_sources
 
 def jailbreak_style(text: Column) -> Column:
     """F1."""
-    return F.coalesce(text, F.lit("")).rlike(FLAGS + P.JAILBREAK_STYLE)
+    return F.coalesce(text, F.lit("")).rlike(compiled(P.JAILBREAK_STYLE))
 
 
 def excluded_origin(origin: Column) -> Column:

@@ -47,7 +47,9 @@ class ConversationProcessor(StatefulProcessor):
         if self._counters.exists():
             turns, ledger, first, seen = self._counters.get()
         kept = deque((tuple(x) for x in self._kept.get()), maxlen=cfg.turns_kept)
-        for chunk in rows:
+        # A key's rows of one micro-batch are folded in order, however many Arrow batches they came in.
+        batches = list(rows)
+        for chunk in [pd.concat(batches, ignore_index=True)] if batches else []:
             chunk = chunk.sort_values(["ts", "turn"], kind="stable")
             plan = []
             # Window texts depend on texts and gaps only, so a chunk is scored in one call.
@@ -150,7 +152,8 @@ def monitor_stream(
 ) -> DataFrame:
     """X1, X2. Monitor rows for a stream of ``conversation_turns``.
 
-    Idle expiry compares event times and is refreshed by recorded turns only. ``state_ttl_seconds`` (wall
+    A key's slim rows of one micro-batch are held together, so bound micro-batches in the source
+    (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``). Idle expiry compares event times and is refreshed by recorded turns only. ``state_ttl_seconds`` (wall
     clock) merely frees the state of conversations that never come back: set it, well above the longest
     stall, on a job that runs forever. Leave it out under an ``availableNow`` trigger, where clocked
     state would schedule empty batches without end. Needs the RocksDB state store.
