@@ -66,6 +66,7 @@ def mix(
         "mix_size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"),
         "mix_key": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("t")),
         "mix_hash": hex_number(F.coalesce(F.col(id).cast("string"), F.lit(""))),
+        "mix_tie": F.xxhash64(F.col(text)),
     })
     bits = F.bin("mix_size")
     sized = sized.withColumn("mix_class", F.concat(F.lpad(F.length(bits), 2, "0"), F.substring(bits, 1, 4)))
@@ -97,14 +98,14 @@ def mix(
     keys = ["mix_key", "mix_class", "mix_bucket"]
     step, at, offset = F.col("mix_ratio"), F.col("mix_place"), F.col("mix_offset")
     copies = F.floor(step * at + offset) - F.floor(step * (at - 1) + offset)
-    inside = Window.partitionBy(*keys).orderBy("mix_size", "mix_hash", F.col(id), F.xxhash64(F.col(text)))
+    inside = Window.partitionBy(*keys).orderBy("mix_size", "mix_hash", F.col(id), "mix_tie")
 
     def placed(rows: DataFrame, of: DataFrame) -> DataFrame:
         rows = rows.withColumn("mix_bucket", bucket).join(of, keys)
         return rows.withColumn("mix_place", F.col("mix_first") + F.row_number().over(inside)).withColumn("mix_copies", copies)
 
     of = cells.select(*keys, *[F.col(c).alias(f"mix_{c}") for c in ("first", "ratio", "offset", "large", "source_size", "target")])
-    slim = sized.select(F.col(id), F.col(text), "mix_key", "mix_class", "mix_size", "mix_hash")
+    slim = sized.select(F.col(id), "mix_tie", "mix_key", "mix_class", "mix_size", "mix_hash")
     taken = placed(slim, of.where("mix_large")).groupBy("mix_key").agg(F.sum(F.col("mix_copies") * F.col("mix_size")).alias("taken"))
     rest = cells.where("not large").groupBy("mix_key").agg(F.sum("words").alias("rest"))
     left = rest.join(taken, "mix_key", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,12 @@ class Encoder:
         return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int32)
 
 
+@lru_cache(maxsize=1)
+def encoder() -> Encoder:
+    """One memory for all tasks of a worker."""
+    return Encoder()
+
+
 def lifts(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
     """Log lift of each feature in toxic texts over clean ones, shrunk to 0 where little is known; 0 below ``LEAST_LIFT``.
 
@@ -184,12 +191,12 @@ def learn(docs: DataFrame, labels: DataFrame, id: str, text: str, max_positive:
     others = rows.where(fraction(F.col("doc_id"), F.col("text")) < max_unlabelled / total)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder()
+        encode_text = encoder()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([encoder(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["positive", "row"])
+                    [part.column(0), pa.array([encode_text(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["positive", "row"])
 
     sample = positives.select(F.lit(True).alias("positive"), "text").unionByName(
         others.select(F.lit(False).alias("positive"), "text")).mapInArrow(encode, "positive boolean, row binary").toArrow()
@@ -224,11 +231,11 @@ def score(
     at = keep.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, weights = Encoder(), [m.astype(float) for m in shared.value]
+        encode_text, weights = encoder(), [m.astype(float) for m in shared.value]
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                rows = [encoder(t) for t in part.column(at).to_pylist()]
+                rows = [encode_text(t) for t in part.column(at).to_pylist()]
                 value = np.mean([sigmoid(logits(rows, w)) for w in weights], axis=0)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(value), pa.array((value >= 0.5).astype(np.int32))], [*keep, "tox_score", "tox_predicted"])
