@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import need
+from wardline.llm.common import cut, need
 
 FEATURES = 1 << 18
 GRAMS = (4, 5)
@@ -20,7 +20,7 @@ GRAMS = (4, 5)
 #: A text is at most FEATURES numbers, so the sample has a bound whatever the corpus; every text is scored.
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 12_000
 LEAST_LIFT = 1.5
-MODELS, EPOCHS, BATCH, RATE, DECAY = 3, 12, 512, 0.03, 1e-4
+FOLDS, MODELS, EPOCHS, BATCH, RATE, DECAY = 5, 3, 12, 512, 0.03, 1e-4
 REMEMBERED = 200_000
 _WORD = re.compile(r"\w+")
 
@@ -55,16 +55,14 @@ def encoder() -> Encoder:
     return Encoder()
 
 
-def lifts(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
+def lifts(toxic: np.ndarray, every: np.ndarray, n_toxic: int, n_every: int, prior: float) -> np.ndarray:
     """Log lift of each feature in toxic texts over clean ones, shrunk to 0 where little is known; 0 below ``LEAST_LIFT``.
 
-    The share of clean texts with a feature is what the unlabelled share leaves once the toxic part is taken off, never
-    below zero: the same correction that the risk makes.
+    ``toxic`` and ``every``: texts with the feature among the confirmed and the unlabelled ones. The share of clean texts is what
+    the unlabelled share leaves once the toxic part is taken off, never below zero: the same correction that the risk makes.
     """
-    count = lambda rows: np.bincount(np.concatenate([*rows, np.empty(0, np.int32)]), minlength=FEATURES).astype(float)
-    toxic, every = count(positive), count(unlabelled) / max(1, len(unlabelled))
-    clean = np.maximum(0.0, every - prior * toxic / max(1, len(positive))) / (1 - prior)
-    r = np.log((toxic + 2.0) / (clean * len(positive) + 2.0))
+    clean = np.maximum(0.0, every / max(1, n_every) - prior * toxic / max(1, n_toxic)) / (1 - prior)
+    r = np.log((toxic + 2.0) / (clean * n_toxic + 2.0))
     return np.where(np.abs(r) >= LEAST_LIFT, r, 0.0)
 
 
@@ -101,7 +99,8 @@ def set_threshold(model: np.ndarray, positive: list[np.ndarray], unlabelled: lis
     return model
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 0, epochs: int = EPOCHS) -> np.ndarray:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], lift: np.ndarray, prior: float, seed: int = 0,
+          epochs: int = EPOCHS) -> np.ndarray:
     """Minimise the non-negative PU risk (Kiryo et al., 2017) with the logistic loss over lift-weighted, unit-length features.
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)): the unlabelled texts stand for negatives once the share of positives
@@ -109,7 +108,6 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     keeps the model from learning the unlabelled positives by heart.
     """
     rng = np.random.default_rng(seed)
-    lift = lifts(positive, unlabelled, prior)
     kept = np.flatnonzero(lift)
     place = np.full(FEATURES, -1)
     place[kept] = np.arange(len(kept))
@@ -153,14 +151,18 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return model
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, models: int = MODELS) -> list[np.ndarray]:
-    """Models that each keep another fifth of the texts for their threshold."""
+def fit(rows: list[tuple[bool, int, np.ndarray]], counts: np.ndarray, sizes: np.ndarray, prior: float, models: int = MODELS) -> list[np.ndarray]:
+    """Models that each keep another fold of the texts for their threshold. ``rows``: (confirmed, fold, features);
+    ``counts``: (confirmed, fold, feature) texts; ``sizes``: (confirmed, fold) texts."""
     made = []
     for k in range(models):
-        own = lambda rows, kept: [r for i, r in enumerate(rows) if (i % 5 == k) == kept]  # noqa: B023, E731
-        p, u = own(positive, False) or positive, own(unlabelled, False) or unlabelled
-        model = train(p, u, prior, seed=k)
-        made.append(set_threshold(model, own(positive, True) or positive, own(unlabelled, True) or unlabelled, prior).astype(np.float32))
+        pick = lambda flag, own: [r for y, fold, r in rows if y == flag and (fold == k) == own]  # noqa: B023, E731
+        others = np.arange(FOLDS) != k
+        use = others if sizes[1, others].sum() and sizes[0, others].sum() else np.ones(FOLDS, bool)
+        lift = lifts(counts[1, use].sum(0), counts[0, use].sum(0), int(sizes[1, use].sum()), int(sizes[0, use].sum()), prior)
+        every = [[r for y, _, r in rows if y == flag] for flag in (True, False)]
+        model = train(pick(True, False) or every[0], pick(False, False) or every[1], lift, prior, seed=k)
+        made.append(set_threshold(model, pick(True, True) or every[0], pick(False, True) or every[1], prior).astype(np.float32))
     return made
 
 
@@ -195,19 +197,51 @@ def learn(docs: DataFrame, labels: DataFrame, id: str, text: str, max_positive:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([encode_text(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["positive", "row"])
-
-    sample = positives.select(F.lit(True).alias("positive"), "text").unionByName(
-        others.select(F.lit(False).alias("positive"), "text")).mapInArrow(encode, "positive boolean, row binary").toArrow()
-    rows = [np.frombuffer(x, np.int32) for x in sample.column("row").to_pylist()]
-    flags = sample.column("positive").to_pylist()
-    positive = [r for r, y in zip(rows, flags) if y and len(r)]
-    unlabelled = [r for r, y in zip(rows, flags) if not y]
-    # The order in which tasks returned must not matter.
-    for part in (positive, unlabelled):
-        part.sort(key=lambda r: (zlib.crc32(r.tobytes()), len(r)))
-    return fit(positive, unlabelled, prior) if positive and unlabelled else None
+                rows = [encode_text(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), pa.array([zlib.crc32(r.tobytes()) % FOLDS for r in rows], pa.int32()),
+                    pa.array([r.tobytes() for r in rows], pa.binary())], ["positive", "fold", "row"])
+
+    sample = cut(positives.select(F.lit(True).alias("positive"), "text").unionByName(
+        others.select(F.lit(False).alias("positive"), "text")).mapInArrow(encode, "positive boolean, fold int, row binary"))
+    sizes = np.zeros((2, FOLDS), np.int64)
+    for r in sample.groupBy("positive", "fold").count().collect():
+        sizes[int(r["positive"]), r["fold"]] = r["count"]
+    if not sizes.sum(1).all():
+        return None
+    cells = [f"c{i}" for i in range(2 * FOLDS)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2 * FOLDS, FEATURES), np.int32)
+        for batch in batches:
+            for flag, fold, row in zip(*(c.to_pylist() for c in batch.columns)):
+                n[FOLDS * flag + fold, np.frombuffer(row, np.int32)] += 1
+        seen = np.flatnonzero(n.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), *(pa.array(x[seen]) for x in n)], ["feature", *cells])
+
+    # The driver gets one row per feature, then only the features that tell toxic from clean: never a text's whole row.
+    told = sample.mapInArrow(count, "feature int, " + ", ".join(f"{c} int" for c in cells)).groupBy("feature").agg(
+        *[F.sum(c).cast("int").alias(c) for c in cells]).toArrow()
+    counts = np.zeros((2 * FOLDS, FEATURES), np.int32)
+    at = told.column("feature").to_numpy()
+    for i, c in enumerate(cells):
+        counts[i, at] = told.column(c).to_numpy()
+    counts = counts.reshape(2, FOLDS, FEATURES)
+    telling = np.zeros(FEATURES, bool)
+    for k in (*range(MODELS), FOLDS):
+        use = np.arange(FOLDS) != k
+        telling |= lifts(counts[1, use].sum(0), counts[0, use].sum(0), int(sizes[1, use].sum()), int(sizes[0, use].sum()), prior) != 0
+
+    def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.frombuffer(r, np.int32) for r in batch.column("row").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([r[telling[r]].tobytes() for r in rows], pa.binary())], ["positive", "fold", "row"])
+
+    table = sample.mapInArrow(slim, "positive boolean, fold int, row binary").toArrow()
+    rows = [(y, fold, np.frombuffer(r, np.int32)) for y, fold, r in zip(*(c.to_pylist() for c in table.columns))]
+    rows.sort(key=lambda r: (r[0], r[1], zlib.crc32(r[2].tobytes()), len(r[2])))  # tasks return in any order
+    return fit(rows, counts, sizes, prior)
 
 
 def score(
