@@ -150,3 +150,14 @@ def test_nearest_rows(spark, vectors):
     top = [r.vec_id for r in sorted(by[100], key=lambda r: r.rank)]
     assert top[0] == 208 and top[1:4] == [0, 101, 102] and 100 not in top and len(top) == 20
     assert nn_descent.nearest(spark.createDataFrame([], VECTORS), F.col("id") % 20 == 0).count() == 0
+
+
+def test_branches_of_a_tree(spark):
+    kind = "tree int, node string, parent string, score double"
+    rows = [(1, "r", None, 0.0), (1, "a", "r", 1.0), (1, "b", "r", 0.2), (1, "a1", "a", 0.0), (1, "a2", "a", 0.9), (1, "b1", "b", None),
+            (2, "x", "gone", 0.5), (3, "c", "d", 1.0), (3, "d", "c", 1.0)]
+    made = chat.branches(spark.createDataFrame(rows, kind), top=2).collect()
+    paths = {}
+    for r in sorted(made, key=lambda r: r.position):
+        paths.setdefault((r.tree, r.branch), []).append(r.node)
+    assert paths == {(1, 1): ["r", "a", "a2"], (1, 2): ["r", "a", "a1"], (2, 1): ["x"]}

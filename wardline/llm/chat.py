@@ -33,9 +33,10 @@ def branches(nodes: DataFrame, top: int = 1) -> DataFrame:
     need(nodes, ["tree", "node", "parent", "score"])
     known = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     up = known.select(F.col("node").alias("parent"), F.lit(1).alias("there")).dropDuplicates(["parent"])
-    level = cut(known.join(up, "parent", "left").select(
-        "tree", "node", F.when(F.col("there") == 1, F.col("parent")).alias("above"), F.col("score").alias("total"),
-        F.lit(1).alias("length")))
+    # Rows without a parent stay out of the joins: as one null key they would all meet in one task.
+    tied = known.where("parent is not null").join(up, "parent", "left").withColumn("above", F.when(F.col("there") == 1, F.col("parent")))
+    tied = tied.unionByName(known.where("parent is null").withColumn("above", F.col("parent")), allowMissingColumns=True)
+    level = cut(tied.select("tree", "node", "above", F.col("score").alias("total"), F.lit(1).alias("length")))
     rows = level.count()
     jumps = []
     while level.where("above is not null").limit(1).count() and 2 ** len(jumps) <= 2 * max(rows, 1):
@@ -43,9 +44,10 @@ def branches(nodes: DataFrame, top: int = 1) -> DataFrame:
         higher = level.select(
             F.col("node").alias("above"), F.col("above").alias("above2"), F.col("total").alias("total2"),
             F.col("length").alias("length2"))
-        level = cut(level.join(higher, "above", "left").select(
+        further = level.where("above is not null").join(higher, "above", "left").select(
             "tree", "node", F.col("above2").alias("above"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
-            (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length")))
+            (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length"))
+        level = cut(further.unionByName(level.where("above is null")))
     parents = known.select(F.col("parent").alias("node")).where("node is not null").distinct()
     leaves = level.where("above is null").join(parents, "node", "left_anti")
     order = Window.partitionBy("tree").orderBy((F.col("total") / F.col("length")).desc(), "node")
