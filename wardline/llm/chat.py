@@ -32,22 +32,24 @@ def branches(nodes: DataFrame, top: int = 1) -> DataFrame:
     """
     need(nodes, ["tree", "node", "parent", "score"])
     known = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    up = known.select(F.col("node").alias("parent"), F.lit(1).alias("there")).dropDuplicates(["parent"])
-    # Rows without a parent stay out of the joins: as one null key they would all meet in one task.
-    tied = known.where("parent is not null").join(up, "parent", "left").withColumn("above", F.when(F.col("there") == 1, F.col("parent")))
-    tied = tied.unionByName(known.where("parent is null").withColumn("above", F.col("parent")), allowMissingColumns=True)
-    level = cut(tied.select("tree", "node", "above", F.col("score").alias("total"), F.lit(1).alias("length")))
+    # A row without an ancestor meets itself in a join, so such rows never share a null key, and there is nothing to union.
+    def meet(of: str) -> Column:
+        return F.coalesce(of, "node").alias("key")
+
+    up = known.select(F.col("node").alias("key")).where("key is not null").distinct().withColumn("there", F.lit(True))
+    tied = known.select("*", meet("parent")).join(up, "key", "left")
+    level = cut(tied.select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("above"), F.col("score").alias("total"), F.lit(1).alias("length")))
     rows = level.count()
     jumps = []
     while level.where("above is not null").limit(1).count() and 2 ** len(jumps) <= 2 * max(rows, 1):
         jumps.append(level)
         higher = level.select(
-            F.col("node").alias("above"), F.col("above").alias("above2"), F.col("total").alias("total2"),
-            F.col("length").alias("length2"))
-        further = level.where("above is not null").join(higher, "above", "left").select(
-            "tree", "node", F.col("above2").alias("above"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
-            (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length"))
-        level = cut(further.unionByName(level.where("above is null")))
+            F.col("node").alias("key"), F.col("above").alias("above2"), F.col("total").alias("total2"), F.col("length").alias("length2"))
+        going = F.col("above").isNotNull()
+        level = cut(level.select("*", meet("above")).join(higher, "key", "left").select(
+            "tree", "node", F.when(going, F.col("above2")).alias("above"),
+            (F.col("total") + F.when(going & F.col("total2").isNotNull(), F.col("total2")).otherwise(0.0)).alias("total"),
+            (F.col("length") + F.when(going & F.col("length2").isNotNull(), F.col("length2")).otherwise(0)).alias("length")))
     parents = known.select(F.col("parent").alias("node")).where("node is not null").distinct()
     leaves = level.where("above is null").join(parents, "node", "left_anti")
     order = Window.partitionBy("tree").orderBy((F.col("total") / F.col("length")).desc(), "node")
@@ -55,8 +57,10 @@ def branches(nodes: DataFrame, top: int = 1) -> DataFrame:
     walk = chosen.select("tree", "branch", "node", (F.col("length") - 1).alias("position"))
     for k in reversed(range(len(jumps))):
         hop = jumps[k].where("above is not null").select("node", "above")
-        walk = walk.unionByName(walk.join(hop, "node").select(
-            "tree", "branch", F.col("above").alias("node"), (F.col("position") - 2 ** k).alias("position")))
+        stay = F.struct("node", "position")
+        step = F.struct(F.col("above").alias("node"), (F.col("position") - 2 ** k).alias("position"))
+        walk = walk.join(hop, "node", "left").select(
+            "tree", "branch", F.inline(F.when(F.col("above").isNull(), F.array(stay)).otherwise(F.array(stay, step))))
         if k % 3 == 0:
             walk = cut(walk)
     return walk
