@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.common import cut, need
+from wardline.llm.files import shared_folder
 
 # Turn marks of the template. A text holds neither "<" nor "[" once it is escaped, so no mark can come from a text.
 OPEN, CLOSE, ASK, ASKED = "<s>", "</s>", "[INST] ", " [/INST]"
@@ -21,6 +22,12 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("~2"), F.lit("[")), F.lit("~1"), F.lit("<")), F.lit("~0"), F.lit("~"))
 
 
+def grown(rows: DataFrame, folder: str, round: int) -> DataFrame:
+    """All rounds of a table in the shared folder, after ``rows`` were written as one more; column ``round`` tells which."""
+    rows.write.parquet(f"{folder}/round={round}")
+    return rows.sparkSession.read.schema(rows.schema.add("round", "integer")).parquet(folder)
+
+
 def branches(nodes: DataFrame, top: int = 1) -> DataFrame:
     """The ``top`` best root-to-leaf paths of each tree: ``tree, branch (from 1), position (0 at the root), node``.
 
@@ -32,38 +39,35 @@ def branches(nodes: DataFrame, top: int = 1) -> DataFrame:
     """
     need(nodes, ["tree", "node", "parent", "score"])
     known = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    # A row without an ancestor meets itself in a join, so such rows never share a null key, and there is nothing to union.
-    def meet(of: str) -> Column:
-        return F.coalesce(of, "node").alias("key")
-
+    folder = shared_folder(nodes.sparkSession, "branches")
+    # A row without a parent meets itself in the join, so such rows never share a null key.
     up = known.select(F.col("node").alias("key")).where("key is not null").distinct().withColumn("there", F.lit(True))
-    tied = known.select("*", meet("parent")).join(up, "key", "left")
-    level = cut(tied.select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("above"), F.col("score").alias("total"), F.lit(1).alias("length")))
-    rows = level.count()
-    jumps = []
-    while level.where("above is not null").limit(1).count() and 2 ** len(jumps) <= 2 * max(rows, 1):
-        jumps.append(level)
+    tied = known.withColumn("key", F.coalesce("parent", "node")).join(up, "key", "left")
+    level = grown(tied.select(
+        "tree", "node", F.when(F.col("there"), F.col("parent")).alias("above"), F.col("score").alias("total"), F.lit(1).alias("length")),
+        f"{folder}/level", 0)
+    rows, jumps = level.count(), []
+    going = level.where("above is not null")
+    # Rows that reached their root rest in the table of the round in which they did, and take no part in later joins.
+    while going.limit(1).count() and 2 ** len(jumps) <= 2 * max(rows, 1):
+        jumps.append(going.select("node", "above"))
+        k = len(jumps)
         higher = level.select(
-            F.col("node").alias("key"), F.col("above").alias("above2"), F.col("total").alias("total2"), F.col("length").alias("length2"))
-        going = F.col("above").isNotNull()
-        level = cut(level.select("*", meet("above")).join(higher, "key", "left").select(
-            "tree", "node", F.when(going, F.col("above2")).alias("above"),
-            (F.col("total") + F.when(going & F.col("total2").isNotNull(), F.col("total2")).otherwise(0.0)).alias("total"),
-            (F.col("length") + F.when(going & F.col("length2").isNotNull(), F.col("length2")).otherwise(0)).alias("length")))
+            F.col("node").alias("above"), F.col("above").alias("above2"), F.col("total").alias("total2"), F.col("length").alias("length2"))
+        made = grown(going.join(higher, "above", "left").select(
+            "tree", "node", F.col("above2").alias("above"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
+            (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length")), f"{folder}/level", k)
+        level = made.where((F.col("round") == k) | F.col("above").isNull())
+        going = level.where("above is not null")
     parents = known.select(F.col("parent").alias("node")).where("node is not null").distinct()
     leaves = level.where("above is null").join(parents, "node", "left_anti")
     order = Window.partitionBy("tree").orderBy((F.col("total") / F.col("length")).desc(), "node")
     chosen = leaves.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= top)
-    walk = chosen.select("tree", "branch", "node", (F.col("length") - 1).alias("position"))
+    walk = grown(chosen.select("tree", "branch", "node", (F.col("length") - 1).alias("position")), f"{folder}/walk", len(jumps))
     for k in reversed(range(len(jumps))):
-        hop = jumps[k].where("above is not null").select("node", "above")
-        stay = F.struct("node", "position")
-        step = F.struct(F.col("above").alias("node"), (F.col("position") - 2 ** k).alias("position"))
-        walk = walk.join(hop, "node", "left").select(
-            "tree", "branch", F.inline(F.when(F.col("above").isNull(), F.array(stay)).otherwise(F.array(stay, step))))
-        if k % 3 == 0:
-            walk = cut(walk)
-    return walk
+        walk = grown(walk.where(F.col("position") >= 2 ** k).join(jumps[k], "node").select(
+            "tree", "branch", F.col("above").alias("node"), (F.col("position") - 2 ** k).alias("position")), f"{folder}/walk", k)
+    return walk.drop("round")
 
 
 def chain(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
