@@ -86,20 +86,23 @@ def roots(runs: range) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id: str, text: str, words: int) -> DataFrame:
-    """``id, digest binary, tokens binary``: digest of the whole shingle set (null: no words), its tokens' last 32 bits."""
+    """``id, tie, digest binary, tokens binary``: hash of the text, digest of the whole shingle set (null: no words), its tokens'
+    last 32 bits. ``id`` and ``tie`` tell the rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part, digest, tokens = batch.slice(i, 256), [], []
-                for t in part.column(1):
+                for t in part.column(2):
                     items = shingles(t.as_py(), words)
                     digest.append(hashlib.md5(items.tobytes()).digest() if len(items) else None)
                     tokens.append(embed(items).astype(np.uint32).tobytes() if len(items) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(digest, pa.binary()), pa.array(tokens, pa.binary())], ["id", "digest", "tokens"])
+                    [part.column(0), part.column(1), pa.array(digest, pa.binary()), pa.array(tokens, pa.binary())],
+                    ["id", "tie", "digest", "tokens"])
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text)).mapInArrow(run, "id long, digest binary, tokens binary")
+    return docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("tie"), F.col(text)).mapInArrow(
+        run, "id long, tie long, digest binary, tokens binary")
 
 
 def token_matrix(column: pa.Array) -> np.ndarray:
@@ -259,13 +262,24 @@ def similar_texts(
     counted by chance, and a large group of near copies costs blocks, not rows per pair.
 
     Null, empty and wordless texts, and rows with a null id (class null), link with nothing and stay. Repeated rows are copies
-    of each other; different texts with one id are one node. Texts of one to four words link with their equals.
+    of each other; different texts with one id are nodes of their own. Texts of one to four words link with their equals.
     """
+    return _similar(docs, id, text, words, threshold, target, limit, depth).drop("tie")
+
+
+def _similar(
+    docs: DataFrame, id: str, text: str, words: int, threshold: float, target: float, limit: int, depth: int,
+) -> DataFrame:
+    """``similar_texts`` with ``tie``, the hash of the row's text."""
     need(docs, [id, text])
     spark = docs.sparkSession
     sketched = cut(sketches(docs, id, text, words))
     valid = sketched.where("digest is not null and id is not null")
-    classes = cut(valid.groupBy("digest").agg(F.min("id").alias("rid"), F.count("*").alias("weight"), F.first("tokens").alias("tokens")))
+    # A node is a shingle set and not an id: two texts under one id may belong to different classes.
+    classes = cut(valid.groupBy("digest").agg(
+        F.min(F.struct("id", "tie")).alias("first"), F.count("*").alias("weight"), F.first("tokens").alias("tokens")).select(
+        F.monotonically_increasing_id().alias("rid"), "digest", F.col("first.id").alias("least"), F.col("first.tie").alias("tie"),
+        "weight", "tokens"))
     slim = classes.select("rid", "tokens")
     links, done = None, 0
     while done < MAX_RUNS:
@@ -283,37 +297,43 @@ def similar_texts(
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 items = [shingles(t.as_py(), words).tobytes() for t in part.column("text")]
-                digest = pa.array([hashlib.md5(x).digest() for x in items], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), digest, pa.array(items, pa.binary())], ["root", "node", "digest", "items"])
+                    [part.column(0), part.column(1), part.column(2), pa.array(items, pa.binary())], ["root", "node", "weight", "items"])
 
-    texts = docs.select(F.col(id).cast("long").alias("node"), F.col(text).alias("text"))
-    members = texts.join(groups, "node").select("root", "node", "text").mapInArrow(
-        itemize, "root long, node long, digest binary, items binary").dropDuplicates(["node", "digest"])
-    members = members.join(classes.select("digest", F.col("rid").alias("node"), "weight"), ["digest", "node"]).select(
-        "root", "node", "weight", "items")
+    texts = docs.select(F.col(id).cast("long").alias("least"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"))
+    wanted = groups.join(classes.select(F.col("rid").alias("node"), "least", "tie", "weight"), "node")
+    members = texts.join(wanted, ["least", "tie"]).select("root", "node", "weight", "text").mapInArrow(
+        itemize, "root long, node long, weight long, items binary").dropDuplicates(["node"])
     exact = cut(verified(members, threshold))
     classes_of = components(exact.where("low is not null").select(F.col("node").alias("a"), F.col("low").alias("b")))
     counted = exact.groupBy("node").agg(F.sum("links").alias("links"))
-    per_class = classes.select("digest", "rid", "weight").join(classes_of.withColumnRenamed("node", "rid"), "rid", "left").join(
+    named = classes_of.unionByName(classes_of.select(F.col("root").alias("node"), "root").distinct()).join(
+        classes.select(F.col("rid").alias("node"), "least"), "node").groupBy("root").agg(F.min("least").alias("name"))
+    found = classes_of.unionByName(named.select(F.col("root").alias("node"), "root")).join(named, "root").select(
+        F.col("node").alias("rid"), "name")
+    per_class = classes.select("digest", "rid", "least", "weight").join(found, "rid", "left").join(
         counted.withColumnRenamed("node", "rid"), "rid", "left").select(
-        "digest", F.coalesce("root", "rid").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    linked = valid.select("id", "digest").join(per_class, "digest").select("id", "class_id", "n_links")
-    alone = sketched.where("digest is null or id is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+        "digest", F.coalesce("name", "least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    linked = valid.select("id", "tie", "digest").join(per_class, "digest").select("id", "tie", "class_id", "n_links")
+    alone = sketched.where("digest is null or id is null").select(
+        "id", "tie", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone).select(
-        F.col("id").alias(id), "class_id", "n_links", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+        F.col("id").alias(id), "tie", "class_id", "n_links", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def deduplicate(
+    docs: DataFrame, *, id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD,
+    target: float = TARGET_RECALL, limit: int = LIMIT, depth: int = DEPTH,
+) -> DataFrame:
     """``docs`` with one row of each class, the one with the smallest id; of rows that repeat an id and a text, one.
 
-    Rows with a null id and different texts under one id all stay. Only ids travel; texts are joined once, and not at all
-    while the removed ids are few enough to broadcast.
+    Rows with a null id and different texts under one id all stay, as far as no smaller id has the same text or a near copy.
+    Ids and hashes of texts travel; texts are joined once, and not at all while the removed rows are few enough to broadcast.
     """
-    found = cut(similar_texts(docs, id=id, text=text, **how))
-    gone = found.where("not kept").select(id).distinct()
+    found = cut(_similar(docs, id, text, words, threshold, target, limit, depth))
+    gone = found.where("not kept").select(F.col(id).alias("gone_id"), F.col("tie").alias("gone_tie")).distinct()
     repeated = cut(found.where("kept").groupBy(id).count().where(F.col("count") > 1).where(F.col(id).isNotNull()).select(id))
-    rest = docs.join(gone, id, "left_anti")
+    rest = docs.join(gone, (docs[id] == F.col("gone_id")) & (F.xxhash64(docs[text]) == F.col("gone_tie")), "left_anti")
     if not repeated.limit(1).count():
         return rest.select(docs.columns)
     twice = rest.join(repeated, id, "left_semi").dropDuplicates([id, text])
