@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,8 @@ GRAMS = (4, 5)
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 12_000
 LEAST_LIFT = 1.5
 FOLDS, MODELS, EPOCHS, BATCH, RATE, DECAY = 5, 3, 12, 512, 0.03, 1e-4
-REMEMBERED = 200_000
+#: Words that a worker remembers, and the longest one that it does.
+REMEMBERED, LONG = 200_000, 64
 _WORD = re.compile(r"\w+")
 
 
@@ -33,8 +35,11 @@ class Encoder:
 
     def word(self, word: str) -> np.ndarray:
         marked = f"^{word}$"
-        grams = {marked} | {marked[i:i + n] for n in GRAMS for i in range(len(marked) - n + 1)} if len(word) <= 64 else {marked}
-        made = np.array([zlib.crc32(g.encode("utf-8", "replace")) % FEATURES for g in grams], np.int32)
+        runs = (marked[i:i + n] for n in GRAMS for i in range(len(marked) - n + 1))
+        number = lambda g: zlib.crc32(g.encode("utf-8", "replace")) % FEATURES
+        if len(word) > LONG:  # seldom recurs and would fill the memory
+            return np.unique(np.fromiter(map(number, chain([marked], runs)), np.int32))
+        made = np.array([number(g) for g in {marked, *runs}], np.int32)
         if len(self.known) > REMEMBERED:
             self.known.clear()
         self.known[word] = made
