@@ -24,8 +24,6 @@ MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]",
 #: A term reveals an entity when their pointwise mutual information is this part of all that the entity says: generalised
 #: from TERM_PART on, removed from OMIT_PART on. At least SUPPORT different texts must show the two together.
 TERM_PART, OMIT_PART, SUPPORT = 0.8, 0.95, 3
-#: Context of an entity: so many words on either side, looked for in so many characters.
-NEAR_WORDS, NEAR_CHARS = 5, 80
 WORD = r"\p{L}{3,}"
 #: A table of at most so many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -100,16 +98,9 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _near(text: Column, span: Column) -> Column:
-    """The distinct terms within ``NEAR_WORDS`` words of a span; a word cut by the window's edge is left out."""
-    left_at = F.greatest(span["start"] - NEAR_CHARS, F.lit(0))
-    left = F.substring(text, left_at + 1, span["start"] - left_at)
-    left = F.when(left_at > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.substring(text, span["end"] + 1, F.lit(NEAR_CHARS))
-    right = F.when(F.length(right) == NEAR_CHARS, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    before = F.regexp_extract_all(F.lower(left), F.lit(WORD), F.lit(0))
-    after = F.regexp_extract_all(F.lower(right), F.lit(WORD), F.lit(0))
-    return F.array_distinct(F.concat(F.reverse(F.slice(F.reverse(before), 1, NEAR_WORDS)), F.slice(after, 1, NEAR_WORDS)))
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a whole text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
 def entity(span: Column) -> Column:
@@ -126,30 +117,44 @@ def sized_join(left: DataFrame, right: DataFrame, on: str, how: str, limit: int)
 def disclosing_terms(based: DataFrame, term_part: float, support: int, limit: int = BROADCAST_ROWS) -> DataFrame | None:
     """``key, terms array<struct<term, part>>`` for each text (``key``: its MD5) that holds a revealing term; None if no term reveals anything.
 
-    Counts are over different texts, so copies are no evidence. Information of an entity: -log2 of the part of all texts that
-    hold it; a term's share of it: log2 of how much likelier the two meet near each other than by chance, over that
+    Counts are over different whole texts, so copies are no evidence. Information of an entity: -log2 of the part of all texts
+    that hold it; a term's share of it: log2 of how much likelier the two meet in a text than by chance, over that
     information. 1 means that the term never occurs without the entity.
+
+    Pruning is exact. A pair in ``support`` texts needs an entity in as many. With the texts that hold such an entity as all
+    that is known of a term, its share can only be too high; what still falls below ``term_part`` goes, first by the
+    term's count alone (n ** (1 - part) * n_entity ** part at most), then pair by pair. Only terms that are left are
+    counted over all texts.
     """
     keyed = based.select(F.md5("san_text").alias("key"), "san_text", *[f"san_{k}" for k in PATTERNS])
-    spans = keyed.select("key", "san_text", all_base().alias("spans")).where(F.size("spans") > 0)
-    near = spans.select("key", "san_text", F.explode("spans").alias("span")).select(
-        "key", entity(F.col("span")).alias("entity"), F.explode_outer(_near(F.col("san_text"), F.col("span"))).alias("term"))
-    near = near.distinct()
-    pairs = near.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    pairs = cut(pairs)
-    if not pairs.limit(1).count():
+    held = cut(keyed.select("key", F.explode(all_base()).alias("span")).select("key", entity(F.col("span")).alias("entity")).distinct())
+    known = cut(held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support))
+    if not known.limit(1).count():
         return None
-    held = near.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = cut(pairs.select("term").distinct())
-    words = F.array_distinct(F.regexp_extract_all(F.lower("san_text"), F.lit(WORD), F.lit(0)))
-    hits = cut(sized_join(keyed.select("key", F.explode(words).alias("term")), terms, "term", "left_semi", limit).distinct())
     texts = keyed.select("key").distinct().count()
-    counted = hits.groupBy("term").agg(F.count("*").alias("n_term"))
     n = F.lit(float(texts))
     information = -F.log2(F.col("n_entity") / n)
-    mutual = F.log2(n * F.col("both") / (F.col("n_entity") * F.col("n_term")))
-    part = F.when(information > 0, mutual / information).otherwise(F.lit(0.0))
-    revealing = cut(pairs.join(held, "entity").join(counted, "term").withColumn("part", part).where(F.col("part") >= term_part)
+
+    def part(n_term: str) -> Column:
+        mutual = F.log2(n * F.col("both") / (F.col("n_entity") * F.col(n_term)))
+        return F.when(information > 0, mutual / information).otherwise(F.lit(0.0))
+
+    telling = cut(held.join(known, "entity"))
+    holders = cut(telling.select("key").distinct())
+    spoken = cut(sized_join(keyed.select("key", "san_text"), holders, "key", "left_semi", limit).select(
+        "key", F.explode(terms_of(F.col("san_text"))).alias("term")).distinct())
+    most = F.pow(n, F.lit(1 - term_part)) * F.pow(F.lit(float(known.agg(F.max("n_entity")).first()[0])), F.lit(term_part))
+    rare = spoken.groupBy("term").agg(F.count("*").alias("n_spoken")).where(
+        (F.col("n_spoken") >= support) & (F.col("n_spoken") <= most * (1 + 1e-9)))
+    pairs = spoken.join(rare, "term").join(telling, "key").groupBy("entity", "term").agg(
+        F.count("*").alias("both"), F.first("n_entity").alias("n_entity"), F.first("n_spoken").alias("n_spoken"))
+    pairs = cut(pairs.where((F.col("both") >= support) & (part("n_spoken") >= term_part)).drop("n_spoken"))
+    if not pairs.limit(1).count():
+        return None
+    terms = cut(pairs.select("term").distinct())
+    hits = cut(sized_join(keyed.select("key", F.explode(terms_of(F.col("san_text"))).alias("term")), terms, "term", "left_semi", limit).distinct())
+    counted = hits.groupBy("term").agg(F.count("*").alias("n_term"))
+    revealing = cut(pairs.join(counted, "term").withColumn("part", part("n_term")).where(F.col("part") >= term_part)
                     .groupBy("term").agg(F.max("part").alias("part")))
     if not revealing.limit(1).count():
         return None
