@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from wardline.llm.common import cut, hex_number, need
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: A cell of equal-sized documents is ranked by one task; it holds about so many rows at most.
+#: A cell of documents is ranked by one task. One with more rows is cut along the order that holds inside it, so that the
+#: number changes tasks and never the result.
 CELL_ROWS = 50_000
 #: Documents above this part of their source are ranked apart, so that one of them cannot spoil its source's total.
 LARGE_PART = 50
+CELL = ("mix_key", "mix_class", "mix_bucket")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, ceiling: int) -> DataFrame:
@@ -43,6 +45,24 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, ceili
     ).alias("target"))
 
 
+def counted(sized: DataFrame) -> DataFrame:
+    """Cells with their rows, words and smallest size; few next to the documents."""
+    return cut(sized.groupBy(*CELL).agg(F.count("*").alias("rows"), F.sum("mix_size").alias("words"), F.min("mix_size").alias("least")))
+
+
+def finer(sized: DataFrame, cells: DataFrame) -> DataFrame:
+    """``sized`` with a ``mix_bucket`` in the cells of over ``CELL_ROWS``: the exact size, then as many leading bits of the
+    hash as its rows need. Buckets follow (size, hash), so ranks stay what they were."""
+    crowded = cells.where(F.col("rows") > CELL_ROWS).select("mix_key", "mix_class", F.lit(True).alias("mix_crowded"))
+    sized = sized.join(F.broadcast(crowded), ["mix_key", "mix_class"], "left")
+    equal = cut(sized.where("mix_crowded").groupBy("mix_key", "mix_size").count().where(F.col("count") > CELL_ROWS).select(
+        "mix_key", "mix_size", F.least(F.length(F.bin(F.floor(F.col("count") / CELL_ROWS))), F.lit(32)).alias("mix_bits")))
+    sized = sized.join(F.broadcast(equal), ["mix_key", "mix_size"], "left")
+    prefix = F.coalesce(F.expr("shiftright(mix_hash, 32 - mix_bits)"), F.lit(0))
+    return sized.withColumn("mix_bucket", F.when(
+        F.col("mix_crowded"), F.col("mix_size") * (1 << 32) + prefix).otherwise(F.col("mix_bucket"))).drop("mix_crowded", "mix_bits")
+
+
 def mix(
     docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (3, 1, 2),
     share: float = 1.5, ceiling: int = 2, seed: str = "mix",
@@ -54,8 +74,9 @@ def mix(
     together, so the words taken follow the copies taken. The few documents that hold over 1/50 of their source are
     walked first, and the rest share what is then left of the target.
 
-    The running sum is a rank: (source, size class, hash bucket) cells are counted, their counts are added up per source,
-    and only then rows are numbered inside their cell, so a source with a third of all rows is many tasks.
+    The running sum is a rank: (source, size class) cells are counted, their counts are added up per source, and only then
+    rows are numbered inside their cell, so a source with a third of all rows is many tasks. A cell of over ``CELL_ROWS`` is
+    cut by exact size and then by the hash's leading bits, in the order of the rows: the order is one at every size.
 
     Null text counts 0 words, a null source is a source of its own (last), null ids are allowed, repeated rows are separate
     documents, other columns pass through unchanged (columns called ``mix_*`` are replaced). An empty table gives none.
@@ -71,17 +92,11 @@ def mix(
     bits = F.bin("mix_size")
     sized = sized.withColumn("mix_class", F.concat(F.lpad(F.length(bits), 2, "0"), F.substring(bits, 1, 4)))
 
-    # (source, class) counts, then hash buckets so that no cell is large; both are small next to the documents.
-    def counted(buckets: int) -> DataFrame:
-        return cut(sized.groupBy("mix_key", "mix_class", F.pmod("mix_hash", F.lit(buckets)).alias("mix_bucket")).agg(
-            F.count("*").alias("rows"), F.sum("mix_size").alias("words"), F.min("mix_size").alias("least")))
-
-    cells, buckets = counted(1), 1
-    most = cells.agg(F.max("rows")).first()[0] or 0
-    if most > CELL_ROWS:
-        buckets = 1 << (most // CELL_ROWS).bit_length()
-        cells = counted(buckets)
-    bucket = F.pmod("mix_hash", F.lit(buckets))
+    sized = sized.withColumn("mix_bucket", F.lit(0).cast("long"))
+    cells = counted(sized)
+    if cells.where(F.col("rows") > CELL_ROWS).limit(1).count():
+        sized = finer(sized, cells)
+        cells = counted(sized)
 
     totals = cells.groupBy(F.col("mix_key").alias("skey")).agg(F.sum("words").alias("source_size"))
     targets = source_targets(totals, weights, share, ceiling).withColumnRenamed("skey", "mix_key")
@@ -95,17 +110,17 @@ def mix(
         "offset": hex_number(F.concat(F.lit(f"{seed}|"), "mix_key")) / F.lit(float(1 << 32)),
     }))
     # From here on every helper column is called mix_*, as the rows carry the caller's columns.
-    keys = ["mix_key", "mix_class", "mix_bucket"]
+    keys = list(CELL)
     step, at, offset = F.col("mix_ratio"), F.col("mix_place"), F.col("mix_offset")
     copies = F.floor(step * at + offset) - F.floor(step * (at - 1) + offset)
     inside = Window.partitionBy(*keys).orderBy("mix_size", "mix_hash", F.col(id), "mix_tie")
 
     def placed(rows: DataFrame, of: DataFrame) -> DataFrame:
-        rows = rows.withColumn("mix_bucket", bucket).join(of, keys)
+        rows = rows.join(of, keys)
         return rows.withColumn("mix_place", F.col("mix_first") + F.row_number().over(inside)).withColumn("mix_copies", copies)
 
     of = cells.select(*keys, *[F.col(c).alias(f"mix_{c}") for c in ("first", "ratio", "offset", "large", "source_size", "target")])
-    slim = sized.select(F.col(id), "mix_tie", "mix_key", "mix_class", "mix_size", "mix_hash")
+    slim = sized.select(F.col(id), "mix_tie", "mix_key", "mix_class", "mix_bucket", "mix_size", "mix_hash")
     taken = placed(slim, of.where("mix_large")).groupBy("mix_key").agg(F.sum(F.col("mix_copies") * F.col("mix_size")).alias("taken"))
     rest = cells.where("not large").groupBy("mix_key").agg(F.sum("words").alias("rest"))
     left = rest.join(taken, "mix_key", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))

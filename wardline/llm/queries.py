@@ -126,7 +126,7 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
         F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
 
 
-# Twin of ``mixing.mix`` while no (source, size class) exceeds ``mixing.CELL_ROWS``, as in the oracle's tables.
+# Twin of ``mixing.mix`` at every size: ``mixing.CELL_ROWS`` cuts tasks along this order.
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce('s' || source, 't') AS k, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
