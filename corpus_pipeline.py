@@ -47,7 +47,7 @@ STAGES = [
     ("toxicity", reject_toxic), ("near-duplicates", keep_one_of_each), ("personal data", sanitise_texts),
     ("mixing", mix_sources), ("packing", pack_sequences),
 ]
-#: Classifier, similarity join and tokenizer have no SQL form; tests hold every stage against a plain version.
+#: Classifier, similarity join and tokenizer have no SQL form; tests hold near-duplicates and personal data against plain versions.
 ORACLE_SQL = None
 
 
