@@ -155,8 +155,97 @@ SELECT doc_id, size, source_size, target,
        ((floor(ratio * place + off) - floor(ratio * (place - 1) + off)) * size)::BIGINT AS taken FROM q"""
 
 
+def op11_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    from wardline.llm.cross_parsing import held_out, identify
+
+    return identify(table(spark, sf, "documents").select("doc_id", "text", "lang")).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("xp_lang").alias("lang_pred"), F.col("xp_score").alias("score"))
+
+
+def op12_turn_repair(spark: SparkSession, sf: str) -> DataFrame:
+    from wardline.llm import turn_repair
+
+    broken = turn_repair.damage(table(spark, sf, "conversations"))
+    return turn_repair.report(broken, present=F.col("present")).withColumnRenamed("conv", "conv_id")
+
+
+# CRC-32 byte by byte, then all ways to edit row after row; of each (row, grammar state) only the least (cost, audit) goes on.
+OP12_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(v ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce([1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[], lambda x, k: xor(x >> 1, (x & 1) * 3988292384), i) AS v
+    FROM (SELECT unnest(range(256))::BIGINT AS i))),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+h AS (SELECT k.*, xor(list_reduce(list_transform(range(1, length(name) + 1), lambda j: ord(name[j])::BIGINT),
+                                  lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 20 AS kind FROM k, tab),
+e AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE kind <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i,
+             regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final FROM e),
+a AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM r),
+c AS (SELECT *, final = '' AS blank, final <> '' AND again AS dup, final <> '' AND NOT again AND final NOT IN ('.', '!', '?') AS short,
+             lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM a),
+ins AS (SELECT * FROM (VALUES (0, '', 0, []::VARCHAR[]), (0, 'I', 2, ['user:']), (0, 'II', 3, ['user:', 'assistant:']), (1, '', 1, []), (1, 'I', 2, ['user:']),
+        (1, 'II', 3, ['user:', 'assistant:']), (2, '', 2, []), (2, 'I', 3, ['assistant:']), (3, '', 3, []), (3, 'I', 2, ['user:'])) t(q, more, q2, added)),
+mv AS (SELECT * FROM (VALUES (0, 'D', '', 0), (1, 'D', '', 1), (2, 'D', '', 2), (3, 'D', '', 3), (0, 'K', 's', 1), (0, 'K', 'u', 2), (1, 'K', 'u', 2),
+        (2, 'K', 'a', 3), (3, 'K', 'u', 2), (0, 'R', 'user', 2), (1, 'R', 'user', 2), (2, 'R', 'assistant', 3), (3, 'R', 'user', 2)) t(q, edit, what, q2)),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+p(conv_id, i, q, best) AS (
+  SELECT conv_id, 0::BIGINT, q2, {'cost': 3 * length(more), 'audit': more, 'rows': added} FROM ids, ins WHERE q = 0
+  UNION ALL
+  SELECT conv_id, i, q2, min(best) FROM (
+    SELECT p.conv_id, c.i, ins.q2, {
+      'cost': p.best.cost + 3 * length(more) + CASE edit WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN edit <> 'D' AND short THEN 3 ELSE 0 END,
+      'audit': p.best.audit || edit || more,
+      'rows': p.best.rows || CASE edit WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [role || ':' || text] ELSE [what || ':' || text] END || added} AS best
+    FROM p JOIN c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.i = p.i + 1 JOIN mv ON mv.q = p.q JOIN ins ON ins.q = mv.q2
+    WHERE edit = 'D' OR NOT blank AND NOT dup AND (edit = 'R' OR left(role, 1) = what))
+  GROUP BY conv_id, i, q2),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+             count(*) FILTER (dup) AS duplicate, count(*) FILTER (short) AS truncated,
+             count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM c GROUP BY conv_id),
+g AS (SELECT p.conv_id, min(best) AS best FROM p LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM p.conv_id
+      WHERE p.i = coalesce(n.n, 0) AND q IN (0, 3) GROUP BY p.conv_id)
+SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, best.cost::BIGINT AS cost, best.audit AS audit, sha256(array_to_string(best.rows, chr(10))) AS repaired_sha256
+FROM g LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM g.conv_id"""
+
+
+def op13_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    from wardline.llm.text_tries import audit
+
+    return audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^ 	-
+]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+m AS (SELECT doc_id, part, (len(words) < 200)::INT + 2 * (100 * list_unique(words) < 50 * len(words))::INT
+               + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text))::INT
+               + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, FALSE)::INT AS mask FROM w),
+l AS (SELECT doc_id, max(coalesce(quality = 1, FALSE)::INT) AS good, max(coalesce(toxic = 1, FALSE)::INT) AS toxic FROM labels GROUP BY doc_id),
+h AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(f, b)),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM f a, f b, f c, f d, f e
+      WHERE a.b + b.b + c.b + d.b + e.b = 31 AND (a.b | b.b | c.b | d.b | e.b) = 31),
+s AS (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM o),
+x AS (SELECT part, filter_order, step, mask, n, good, toxic, bits[step] AS bit,
+             coalesce(list_min(list_filter([1, 2, 3, 4, 5], lambda i: (mask & bits[i]) > 0)), 6) AS gone FROM h, s),
+r AS (SELECT part, bit, coalesce(sum(n) FILTER (gone = step), 0) AS shapley FROM x GROUP BY part, bit)
+SELECT part, filter_order, step::INT AS step, coalesce(sum(n) FILTER (gone > step), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (gone = step), 0)::BIGINT AS removed,
+       coalesce(sum(n) FILTER (gone < step AND (mask & bit) > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+       coalesce(sum(good) FILTER (gone = step), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (gone = step), 0)::BIGINT AS toxic_lost,
+       any_value(shapley)::BIGINT AS shapley
+FROM x JOIN r USING (part, bit) GROUP BY part, filter_order, step"""
+
+
 QUERIES = {
     "op1_ann": op1_ann, "op2_warc": op2_warc, "op3_pii": op3_pii, "op5_embedding_near_dedup": op5_embedding_near_dedup, "op6_packing": op6_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing,
+    "op11_language_id": op11_language_id, "op12_turn_repair": op12_turn_repair, "op13_filter_audit": op13_filter_audit,
 }
-ORACLE = {"op2_warc": OP2_SQL, "op5_embedding_near_dedup": OP5_SQL, "op8_chat": OP8_SQL, "op10_mixing": OP10_SQL}
+ORACLE = {"op2_warc": OP2_SQL, "op5_embedding_near_dedup": OP5_SQL, "op8_chat": OP8_SQL, "op10_mixing": OP10_SQL,
+          "op12_turn_repair": OP12_SQL, "op13_filter_audit": OP13_SQL}
