@@ -62,7 +62,7 @@ def frames(spark, rows, labels):
 
 def test_audit_equals_a_plain_version(spark, rows, labels):
     docs, known = frames(spark, rows, labels)
-    for cell_bytes in (A.CELL_BYTES, 3000):
+    for cell_bytes in (A.CELL_BYTES, 60_000):
         made = A.audit(docs, known, cell_bytes=cell_bytes)
         assert made.columns == ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
         assert sorted(map(tuple, made.collect())) == plain(rows, labels)
@@ -75,7 +75,7 @@ def test_small_blocks_give_the_same_masks(spark, rows, labels, monkeypatch):
     key = lambda d: sorted(map(str, d.groupBy("doc_id", "part", "mask").sum("n").collect()))
     whole = key(A.masks(docs))
     monkeypatch.setattr(A, "BLOCK_BYTES", 2000)
-    assert key(A.masks(docs, cell_bytes=500)) == whole
+    assert key(A.masks(docs, cell_bytes=20_000)) == whole
 
 
 def test_empty_tables(spark, rows, labels):

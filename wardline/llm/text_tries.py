@@ -18,11 +18,12 @@ FILTERS = "ABCDE"
 DUPLICATE = 1 << FILTERS.index("E")
 MIN_WORDS, SIGNS = 200, b"#$%&*|"
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
-#: Texts that a task holds in a trie before the shuffle, and that one trie is meant to hold after it.
-BLOCK_BYTES, CELL_BYTES = 16 << 20, 32 << 20
+#: Texts that a task holds in a trie before the shuffle, and that one trie is meant to hold after it: as much as gives every
+#: shuffle partition a cell, but no less than LEAST_BYTES and no more than CELL_BYTES.
+BLOCK_BYTES, CELL_BYTES, LEAST_BYTES = 16 << 20, 32 << 20, 1 << 20
 #: A prefix that is too heavy is split by so many further bytes behind what all its texts share; so many bytes of a text
 #: are compared for that at a time.
-SPLIT_BYTES, SHARED_BYTES = 2, 4096
+SPLIT_BYTES, SHARED_BYTES = 2, 1024
 
 
 def mask_of(text: bytes) -> int:
@@ -110,18 +111,18 @@ def cut_points(texts: DataFrame, cell_bytes: int) -> list[bytes]:
         def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: dict[tuple[int, bytes], list] = {}
             for batch in batches:
-                for text in batch.column(0).to_pylist():
+                for text, size in zip(*(c.to_pylist() for c in batch.columns)):
                     for n in lengths:
                         if len(text) >= n and text[:n] in wanted:
                             child = text[:n + SPLIT_BYTES]
                             head = text[:len(child) + SHARED_BYTES]
                             held = seen.get((n, child))
                             if held is None:
-                                seen[n, child] = [len(text) + 64, head, head, len(text), len(text)]
+                                seen[n, child] = [size + 64, head, head, size, size]
                             else:
-                                held[0] += len(text) + 64
+                                held[0] += size + 64
                                 held[1], held[2] = min(held[1], head), max(held[2], head)
-                                held[3], held[4] = min(held[3], len(text)), max(held[4], len(text))
+                                held[3], held[4] = min(held[3], size), max(held[4], size)
                             break
             yield pa.RecordBatch.from_arrays(
                 [pa.array([n for n, _ in seen], pa.int64()), pa.array([c for _, c in seen], pa.binary()),
@@ -129,7 +130,9 @@ def cut_points(texts: DataFrame, cell_bytes: int) -> list[bytes]:
                  pa.array([v[2] for v in seen.values()], pa.binary()), pa.array([v[3] for v in seen.values()], pa.int64()),
                  pa.array([v[4] for v in seen.values()], pa.int64())], ["n", "child", "weight", "low", "high", "least", "most"])
 
-        found = texts.mapInArrow(weigh, "n long, child binary, weight long, low binary, high binary, least long, most long").groupBy(
+        whole = F.col(texts.columns[0])
+        heads = texts.select(F.substring(whole, 1, lengths[0] + SPLIT_BYTES + SHARED_BYTES), F.octet_length(whole).cast("long"))
+        found = heads.mapInArrow(weigh, "n long, child binary, weight long, low binary, high binary, least long, most long").groupBy(
             "n", "child").agg(F.sum("weight").alias("weight"), F.min("low").alias("low"), F.max("high").alias("high"),
                               F.min("least").alias("least"), F.max("most").alias("most"))
         # Heads travel only for prefixes that are split further.
@@ -177,7 +180,8 @@ def masks(docs: DataFrame, *, id: str = "doc_id", text: str = "text", part: str
         F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"))
     spark = docs.sparkSession
     total = source.agg(F.sum(F.octet_length("text").cast("long") + 64)).first()[0]
-    cuts = cut_points(source.select("text"), max(1, min(cell_bytes, (total or 0) // shuffle_partitions(spark)))) if total else []
+    wanted = min(cell_bytes, max(LEAST_BYTES, (total or 0) // shuffle_partitions(spark)))
+    cuts = cut_points(source.select("text"), wanted) if total else []
     cells = len(cuts) + 1
 
     def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
