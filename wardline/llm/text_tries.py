@@ -21,9 +21,9 @@ _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 #: Texts that a task holds in a trie before the shuffle, and that one trie is meant to hold after it: as much as gives every
 #: shuffle partition a cell, but no less than LEAST_BYTES and no more than CELL_BYTES.
 BLOCK_BYTES, CELL_BYTES, LEAST_BYTES = 16 << 20, 32 << 20, 1 << 20
-#: A prefix that is too heavy is split by so many further bytes behind what all its texts share; so many bytes of a text
-#: are compared for that at a time.
-SPLIT_BYTES, SHARED_BYTES = 2, 1024
+#: A prefix that is too heavy is split by so many further bytes behind what all its texts share. For that, so many bytes of
+#: a text are compared in the first round, and twice as many in each later one up to the most.
+SPLIT_BYTES, SHARED_BYTES, MOST_SHARED = 2, 1024, 1 << 16
 
 
 def mask_of(text: bytes) -> int:
@@ -101,56 +101,52 @@ def cut_points(texts: DataFrame, cell_bytes: int) -> list[bytes]:
 
     A radix tree grows from the root: each round weighs, over all texts, the next bytes behind the prefixes that are still too
     heavy; a heavy one is then split behind what all of its texts share, so one round passes a long common head. A prefix
-    whose texts are all equal stays whole. The driver gets one row per child of a heavy prefix.
+    whose texts are all equal (by hash) stays whole. The driver gets one row per child of a heavy prefix.
     """
-    open_, leaves = {b"": 0}, []
+    open_, leaves, reach = {b""}, [], SHARED_BYTES
+    whole = F.col(texts.columns[0])
     while open_:
         lengths = sorted({len(p) for p in open_}, reverse=True)
-        wanted = frozenset(open_)
+        wanted, compared = frozenset(open_), reach
 
         def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: dict[tuple[int, bytes], list] = {}
             for batch in batches:
-                for text, size in zip(*(c.to_pylist() for c in batch.columns)):
+                for text, size, h in zip(*(c.to_pylist() for c in batch.columns)):
                     for n in lengths:
                         if len(text) >= n and text[:n] in wanted:
                             child = text[:n + SPLIT_BYTES]
-                            head = text[:len(child) + SHARED_BYTES]
+                            head = text[:len(child) + compared]
                             held = seen.get((n, child))
                             if held is None:
-                                seen[n, child] = [size + 64, head, head, size, size]
+                                seen[n, child] = [size + 64, head, head, h, h]
                             else:
                                 held[0] += size + 64
                                 held[1], held[2] = min(held[1], head), max(held[2], head)
-                                held[3], held[4] = min(held[3], size), max(held[4], size)
+                                held[3], held[4] = min(held[3], h), max(held[4], h)
                             break
+            columns = list(zip(*((n, c, *v) for (n, c), v in seen.items()))) or [()] * 7
+            types = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([n for n, _ in seen], pa.int64()), pa.array([c for _, c in seen], pa.binary()),
-                 pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.binary()),
-                 pa.array([v[2] for v in seen.values()], pa.binary()), pa.array([v[3] for v in seen.values()], pa.int64()),
-                 pa.array([v[4] for v in seen.values()], pa.int64())], ["n", "child", "weight", "low", "high", "least", "most"])
+                [pa.array(c, t) for c, t in zip(columns, types)], ["n", "child", "weight", "low", "high", "least", "most"])
 
-        whole = F.col(texts.columns[0])
-        heads = texts.select(F.substring(whole, 1, lengths[0] + SPLIT_BYTES + SHARED_BYTES), F.octet_length(whole).cast("long"))
+        heads = texts.select(
+            F.substring(whole, 1, lengths[0] + SPLIT_BYTES + reach), F.octet_length(whole).cast("long"), F.xxhash64(whole))
         found = heads.mapInArrow(weigh, "n long, child binary, weight long, low binary, high binary, least long, most long").groupBy(
             "n", "child").agg(F.sum("weight").alias("weight"), F.min("low").alias("low"), F.max("high").alias("high"),
-                              F.min("least").alias("least"), F.max("most").alias("most"))
+                              (F.min("least") == F.max("most")).alias("equal"))
         # Heads travel only for prefixes that are split further.
-        heavy = F.col("weight") > cell_bytes
-        rows = found.select("n", "child", "weight", F.when(heavy, F.col("low")).alias("low"), F.when(heavy, F.col("high")).alias("high"),
-                            "least", "most").collect()
-        open_ = {}
+        split = (F.col("weight") > cell_bytes) & ~F.col("equal")
+        rows = found.select("n", "child", "weight", F.when(split, F.col("low")).alias("low"), F.when(split, F.col("high")).alias("high")).collect()
+        open_ = set()
         for r in rows:
-            child, ended = bytes(r["child"]), len(r["child"]) < r["n"] + SPLIT_BYTES  # all its texts end here
-            if r["weight"] <= cell_bytes or ended:
+            child = bytes(r["child"])
+            if r["low"] is None or len(child) < r["n"] + SPLIT_BYTES:  # light, one text, or texts that end here
                 leaves.append((child, r["weight"]))
-                continue
-            low, high = bytes(r["low"]), bytes(r["high"])
-            n = shared(low, high)
-            if low == high and r["least"] == r["most"] == len(low):
-                leaves.append((child, r["weight"]))  # one text
             else:
-                open_[low[:n]] = n
+                low = bytes(r["low"])
+                open_.add(low[:shared(low, bytes(r["high"]))])
+        reach = min(2 * reach, MOST_SHARED)
     cuts, held = [], 0
     for prefix, weight in sorted(leaves):
         if held and held + weight > cell_bytes:
