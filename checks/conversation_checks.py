@@ -12,6 +12,7 @@ from wardline.operators import conversation as V
 from wardline.operators import requests as R
 from wardline.operators import selection, sessions
 from wardline.operators.blocks import OWN
+from wardline.plans.lineage import cut
 from wardline.settings import ConversationSettings
 
 SETTINGS = ConversationSettings()
@@ -83,7 +84,7 @@ def flag_alerts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kept_turns(spark: SparkSession, sf: str) -> DataFrame:
-    rows = selection.last_turns(I.turns(spark, sf), KEYS, "turn", keep=3)
+    rows = selection.last_turns(I.turns(spark, sf), KEYS, "turn", keep=SETTINGS.turns_kept)
     return rows.select("conv_id", "turn", "role")
 
 
@@ -102,9 +103,10 @@ def session_monitor(spark: SparkSession, sf: str) -> DataFrame:
         "user_id", "event_id", "ts", (F.least(F.col("value"), F.lit(99.0)) / 100).alias("risk"),
         F.col("event_type").alias("head"), F.col("props").alias("text"), F.col("props").alias("masked"),
     )
-    placed = sessions.with_session(events, ["user_id"], "ts", SETTINGS.ttl_seconds).withColumn(
+    # The monitor reads its turns several times, so the sessions are found once.
+    placed = cut(sessions.with_session(events, ["user_id"], "ts", SETTINGS.ttl_seconds).withColumn(
         "at_us", F.unix_micros(F.col("ts").cast("timestamp"))
-    )
+    ))
     rows = V.monitor(placed, payload_scorer, ["user_id", "session"], "at_us")
     return rows.select(
         "user_id", "session", "at_us", "user_turn", "flagged", F.round("ledger", 9).alias("ledger"), "first_flagged_turn",
@@ -187,7 +189,7 @@ ORACLE = {
     ) + "SELECT conv_id, turn, x.t AS hist_turn, x.r AS hist_risk FROM h",
     "flag_alerts": I.ctes(*FLAGS) + f"""SELECT conv_id, n AS user_turn, 'conversation_flag' AS event,
         {ROUND4('ledger')} AS score, first_flagged_turn, reason FROM flags WHERE flagged""",
-    "kept_turns": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 3",
+    "kept_turns": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 50",
     "sessionize": I.ctes(GAPS) + "SELECT user_id, session, min(us) AS started, max(us) AS ended, count(*) AS n FROM sess GROUP BY user_id, session",
     "session_rows": I.ctes(GAPS) + "SELECT event_id, user_id, session FROM sess",
     "session_monitor": I.ctes(

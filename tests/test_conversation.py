@@ -155,3 +155,44 @@ def test_stream_order_does_not_depend_on_arrow_batches(spark, rows):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert ok, note
+
+
+@pytest.mark.parametrize("alpha", [0.8, 0.999])
+def test_ledger_equals_one_fold_bit_by_bit(spark, alpha):
+    rng = random.Random(3)
+    cfg = ConversationSettings(alpha=alpha)
+    risks = [rng.random() for _ in range(10_000)]
+    values, value = [], 0.0
+    for r in risks:
+        value = cfg.alpha * value + cfg.beta * r
+        values.append(value)
+    assert [r["ledger"] for r in run(made(spark, risks), settings=cfg)] == values
+    if alpha == 0.8:  # blocks longer than its memory: still the same bits
+        assert [r["ledger"] for r in run(made(spark, risks), settings=cfg, block_rows=1500)] == values
+
+
+def test_sparse_orders_are_cut_by_rank_with_few_copies(spark):
+    from wardline.operators import blocks
+
+    rng = random.Random(4)
+    at = sorted(rng.sample(range(10 ** 15), 2000))
+    rows = [("hot", t) for t in at] + [(f"k{i}", t) for i in range(20) for t in at[i:i + 5]] + [(None, 5)]
+    df = spark.createDataFrame(rows, "k STRING, at LONG")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    placed = blocks.place(df, ["k"], "at", 49, 1000).withColumn("n", blocks.position(["k"], "at"))
+    assert len(tracker.getJobIdsForGroup("building")) == 0
+    hot = placed.where("k = 'hot'").collect()
+    assert len(hot) <= 2200 and len({r["_block"] for r in hot}) >= 2
+    place = {t: i + 1 for i, t in enumerate(at)}
+    assert all(r["n"] == place[r["at"]] for r in hot) and sum(r["_own"] for r in hot) == 2000
+    assert placed.where("k is null or k <> 'hot'").count() == 101
+
+
+def test_many_rows_of_one_order_share_a_block(spark):
+    from wardline.operators import blocks
+
+    df = spark.createDataFrame([("a", i // 40) for i in range(400)], "k STRING, at LONG")
+    placed = blocks.place(df, ["k"], "at", 3, 20)
+    own = placed.where("_own").collect()
+    assert len(own) == 400 and len({(r["at"], r["_block"]) for r in own}) == 10

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.numbers import fixed
-from wardline.operators.ranking import cumulative, probability_cell
+from wardline.operators.ranking import cumulative
 from wardline.settings import HEADS
 
 SWEEP = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
@@ -91,7 +91,7 @@ def ranking_quality(head_rows: DataFrame, by: Sequence[str] = ("head",)) -> Data
     """A11, A12. ROC-AUC with averaged ties and step-wise average precision, exact, from score histograms."""
     by = list(by)
     ranked = cumulative(
-        head_rows, by, "p", {"pos": F.count_if("y"), "neg": F.count_if(~F.col("y"))}, probability_cell, descending=True
+        head_rows, by, "p", {"pos": F.count_if("y"), "neg": F.count_if(~F.col("y"))}, descending=True
     )
     pos, neg, pos_above, neg_above = (F.col(x) for x in ("pos", "neg", "pos_before", "neg_before"))
     precision_here = (pos_above + pos) / (pos_above + pos + neg_above + neg)

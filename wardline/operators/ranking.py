@@ -1,8 +1,8 @@
 """Exact rank statistics without sorting a group in one task.
 
-Values are reduced to a histogram of distinct values, the histogram is cut into cells by a monotone
-function of the value, cell totals (few) are prefix-summed, and ranks inside a cell are found cell by
-cell. The result is exact; the cells only spread the work.
+Values are reduced to a histogram of distinct values, the histogram is cut into cells of about equal size at points that a
+mergeable sketch of the values themselves gives, cell totals (few) are prefix-summed, and ranks inside a cell are found cell
+by cell. The result is exact whatever the sketch says; the cells only spread the work.
 """
 
 from __future__ import annotations
@@ -13,45 +13,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.numbers import rounded
+from wardline.operators.blocks import not_above, same_keys
 
-PROBABILITY_CELLS = 2 ** 16
+#: Cells a group, and how exact the sketch is: ranks are off by at most 1 / ACCURACY of the distinct values.
+CELLS, ACCURACY = 256, 4096
 
 
-def probability_cell(value: Column) -> Column:
-    return F.floor(value * PROBABILITY_CELLS)
-
-
-def magnitude_cell(value: Column) -> Column:
-    """Monotone cell for any double: about 0.1 % wide in relative terms away from zero."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * 1024)
+def cell_cuts(histogram: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``_key0 .., _cuts``: per group, up to ``CELLS - 1`` values that cut its distinct values into cells of equal size."""
+    points = [i / CELLS for i in range(1, CELLS)]
+    sketch = F.array_distinct(F.percentile_approx(value, points, ACCURACY))
+    return histogram.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(sketch.alias("_cuts"))
 
 
 def cumulative(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    measures: dict[str, Column],
-    cell=magnitude_cell,
-    descending: bool = False,
+    df: DataFrame, keys: Sequence[str], value: str, measures: dict[str, Column], descending: bool = False
 ) -> DataFrame:
-    """Per distinct value: each measure's sum at the value and, as ``<m>_before``, over all earlier values."""
+    """Per distinct value: each measure's sum at the value and, as ``<m>_before``, over all earlier values.
+
+    Four shuffles: the histogram, the sketch, the cells and their totals. Cuts and totals are at most ``CELLS`` numbers a
+    group and meet the histogram by a join that AQE turns into a broadcast while they are small.
+    """
     histogram = df.groupBy(*keys, value).agg(*[m.alias(name) for name, m in measures.items()])
-    histogram = histogram.withColumn("_cell", cell(F.col(value)))
+    others = [f"_key{i}" for i in range(len(keys))]
+    cuts = cell_cuts(histogram, keys, value)
     direction = F.desc if descending else F.asc
-    cells = histogram.groupBy(*keys, "_cell").agg(*[F.sum(m).alias(f"_{m}_cell") for m in measures])
-    before = Window.partitionBy(*keys).orderBy(direction("_cell")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select(
-        *keys, "_cell", *[F.coalesce(F.sum(f"_{m}_cell").over(before), F.lit(0)).alias(f"_{m}_off") for m in measures]
+    placed = histogram.join(cuts, same_keys(histogram, cuts, keys, others), "left").withColumn(
+        "_cell", F.coalesce(not_above(F.col("_cuts"), F.col(value), 10), F.lit(0))
+    ).drop("_cuts", *others)
+    cell = Window.partitionBy(*keys, "_cell")
+    ordered = cell.orderBy(direction(value))
+    inside = placed.withColumns({
+        **{f"_{m}_upto": F.sum(m).over(ordered.rowsBetween(Window.unboundedPreceding, -1)) for m in measures},
+        **{f"_{m}_cell": F.sum(m).over(cell) for m in measures},
+        "_first": F.row_number().over(ordered) == 1,
+    })
+    before = Window.partitionBy(*others).orderBy(direction("_of")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = inside.where("_first").select(
+        *[F.col(k).alias(o) for k, o in zip(keys, others)], F.col("_cell").alias("_of"), *[f"_{m}_cell" for m in measures]
     )
-    inside = (
-        Window.partitionBy(*keys, "_cell").orderBy(direction(value)).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *others, "_of", *[F.coalesce(F.sum(f"_{m}_cell").over(before), F.lit(0)).alias(f"_{m}_off") for m in measures]
     )
+    found = inside.drop("_first", *[f"_{m}_cell" for m in measures])
     return (
-        histogram.join(offsets, [*keys, "_cell"])
-        .withColumns({
-            f"{m}_before": F.col(f"_{m}_off") + F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in measures
-        })
-        .drop("_cell", *[f"_{m}_off" for m in measures])
+        found.join(offsets, same_keys(found, offsets, keys, others) & (found["_cell"] == offsets["_of"]))
+        .withColumns({f"{m}_before": F.col(f"_{m}_off") + F.coalesce(F.col(f"_{m}_upto"), F.lit(0)) for m in measures})
+        .drop("_cell", "_of", *others, *[f"_{m}_off" for m in measures], *[f"_{m}_upto" for m in measures])
     )
 
 
@@ -83,13 +91,3 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence
         between = F.when(w < 0.5, lo + (hi - lo) * w).otherwise(hi - (hi - lo) * (1 - w))
         out.append(rounded(between, 3).alias(name))
     return joined.groupBy(*keys).agg(F.max("total").alias("n"), *picks).select(*given, "n", *out)
-
-
-def approx_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float] = (0.5, 0.95, 0.99), accuracy: int = 10_000
-) -> DataFrame:
-    """A20 from a mergeable sketch: one shuffle of sketches, for dashboards that need no exact rank."""
-    sketch = F.percentile_approx(value, [float(q) for q in points], accuracy)
-    return df.groupBy(*keys).agg(sketch.alias("_p")).select(
-        *keys, *[F.round(F.col("_p")[i], 3).alias(f"p{round(q * 100)}") for i, q in enumerate(points)]
-    )

@@ -42,13 +42,14 @@ class ConversationSettings:
             raise ValueError("window_turns cannot exceed turns_kept")
 
     @property
-    def ledger_rows(self) -> int:
-        """Earlier rows that can still move the ledger: alpha**k falls below 1e-18 after them."""
+    def memory_rows(self) -> int:
+        """Turns after which the ledger forgets where it began, to the last bit: ``alpha ** n`` falls below the precision of a
+        double, and two folds that are one last digit apart have met."""
         if self.alpha == 0.0:
-            return 0
-        return max(1, math.ceil(math.log(1e-18) / math.log(self.alpha)))
+            return 1
+        return math.ceil(53 * math.log(2) / -math.log(self.alpha)) + math.ceil(30 / (1 - self.alpha))
 
     @property
     def lookback_rows(self) -> int:
         """Longest bounded frame any monitor expression reads."""
-        return max(self.ledger_rows, self.turns_kept - 1, self.history_shown - 1, self.window_turns - 1)
+        return max(self.turns_kept - 1, self.history_shown - 1, self.window_turns - 1)
