@@ -236,10 +236,14 @@ QUERIES = {
 }
 
 
-def _unit_sql(salt: str) -> str:
-    return f"('0x' || substr(md5('{salt}' || text), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
-
-
+SPLIT = (
+    "placed AS (SELECT *, md5('split-42-' || text) AS o, count(*) OVER (PARTITION BY label) AS total FROM labelled)",
+    "sized AS (SELECT *, least(greatest(round(total * 0.2::DOUBLE), 1), total - 1)::BIGINT AS n_test FROM placed)",
+    "cuts AS (SELECT label, list_sort(list(o)) AS os, any_value(n_test) AS t, any_value(least(round((total - n_test) * 0.1::DOUBLE)::BIGINT, "
+    "greatest(total - n_test - 1, 0))) AS v FROM sized GROUP BY label)",
+    "split AS (SELECT p.*, CASE WHEN t > 0 AND o <= os[t] THEN 'test' WHEN t + v > 0 AND o <= os[t + v] THEN 'validation' ELSE 'train' END AS split "
+    "FROM placed p JOIN cuts c ON p.label = c.label)",
+)
 _HEADS_SQL = "(SELECT unnest([" + ", ".join(I.lit(h) for h in HEADS) + "]) AS head)"
 _HEAD_ROWS = f"hr AS (SELECT doc_id, label, head, label = head AS y FROM labelled, {_HEADS_SQL} WHERE label IN (head, 'safe'))"
 _DROPPED = "(EXISTS (SELECT 1 FROM goals WHERE g = k) OR EXISTS (SELECT 1 FROM goals WHERE contains(k, g)))"
@@ -259,8 +263,7 @@ ORACLE = {
     "pos_weight": I.ctes(I.DOCS, I.LABELLED, _HEAD_ROWS) + """SELECT head, count(*) FILTER (y) AS pos, count(*) FILTER (NOT y) AS neg,
         greatest(1.0::DOUBLE, least(10.0::DOUBLE, sqrt(count(*) FILTER (NOT y) / greatest(count(*) FILTER (y), 1)::DOUBLE))) AS pos_weight
         FROM hr GROUP BY head""",
-    "stratified_split": I.ctes(I.DOCS, I.LABELLED) + f"""SELECT doc_id, label, CASE WHEN {_unit_sql('test-42-')} < 0.2::DOUBLE THEN 'test'
-        WHEN {_unit_sql('validation-42-')} < 0.1::DOUBLE THEN 'validation' ELSE 'train' END AS split FROM labelled""",
+    "stratified_split": I.ctes(I.DOCS, I.LABELLED, *SPLIT) + "SELECT doc_id, label, split FROM split",
     "decontaminate_exact": I.ctes(*CONT_CHAIN) + "SELECT row_id, md5(text) AS text_md5 FROM keyed WHERE k NOT IN (SELECT g FROM goals)",
     "decontaminate_contains": I.ctes(*CONT_CHAIN) + """SELECT row_id, md5(text) AS text_md5 FROM keyed
         WHERE NOT EXISTS (SELECT 1 FROM goals WHERE contains(k, g))""",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import inputs as I
+from checks.corpus_checks import SPLIT
 from checks.guard_checks import SEGMENTS
 from wardline.operators import features, metrics, ranking, scoring
 from wardline.operators.linear_scorer import load_linear, with_linear_scores
@@ -427,7 +428,7 @@ ORACLE = {
         round(avg((blocked = is_attack)::INT::DOUBLE), 9) AS accuracy FROM verdicts GROUP BY bench, detector, category""",
     "percentiles": """WITH s AS (SELECT event_type, list(value ORDER BY value) AS v FROM events GROUP BY event_type)
         SELECT event_type, len(v) AS n, """ + ", ".join(_percentile_sql(q) for q in (0.5, 0.95, 0.99)) + " FROM s",
-    "split_drift": I.ctes(I.DOCS, I.LABELLED) + """SELECT count(*) AS n_test, 17 AS recorded_n_test,
+    "split_drift": I.ctes(I.DOCS, I.LABELLED, *SPLIT) + """SELECT count(*) AS n_test, 17 AS recorded_n_test,
         CASE WHEN count(*) <> 17 THEN 'held-out size differs from training; rows may overlap training data' END AS warning
-        FROM labelled WHERE ('0x' || substr(md5('test-42-' || text), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.2::DOUBLE""",
+        FROM split WHERE split = 'test'""",
 }

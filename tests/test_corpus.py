@@ -109,6 +109,31 @@ def test_versions_and_recent_keys(spark):
 
 
 def test_split_is_stable_and_balanced(spark):
-    df = spark.range(5000).select(F.concat(F.lit("text "), "id").alias("text"))
+    df = spark.range(5000).select(F.concat(F.lit("text "), "id").alias("text"), F.lit("safe").alias("label"))
     sizes = {r["split"]: r["count"] for r in corpus.with_split(df).groupBy("split").count().collect()}
-    assert abs(sizes["test"] - 1000) < 120 and abs(sizes["validation"] - 400) < 90
+    assert sizes == {"test": 1000, "validation": 400, "train": 3600}
+
+
+def test_split_divides_each_class_exactly(spark):
+    sizes = {"safe": 1000, "toxic": 2, "jailbreak": 1, "prompt_injection": 37}
+    rows = [(f"{c} {i}", c) for c, n in sizes.items() for i in range(n)] + [(None, "safe"), ("x", None), ("y", None)]
+    df = spark.createDataFrame(rows, "text STRING, label STRING")
+    got = {}
+    for r in corpus.with_split(df).collect():
+        got.setdefault(r["label"], {}).setdefault(r["split"], set()).add(r["text"])
+    count = lambda c, s: len(got[c].get(s, ()))
+    assert (count("safe", "test"), count("safe", "validation"), count("safe", "train")) == (200, 80, 721)
+    assert (count("toxic", "test"), count("toxic", "train")) == (1, 1) and count(None, "test") == 1
+    assert count("jailbreak", "test") == 0 and count("jailbreak", "train") == 1
+    assert (count("prompt_injection", "test"), count("prompt_injection", "validation")) == (7, 3)
+    again = {r["text"]: r["split"] for r in corpus.with_split(df.repartition(5)).where("label = 'safe'").collect()}
+    assert {t for t, s in again.items() if s == "test"} == got["safe"]["test"]
+    assert corpus.with_split(df.where("false")).count() == 0
+    assert corpus.with_split(df, 0.0, 0.0).where("split <> 'train'").count() == 0
+
+
+def test_split_keeps_equal_texts_together(spark):
+    df = spark.createDataFrame([(f"t{i % 50}", "safe") for i in range(500)], "text STRING, label STRING")
+    sides = corpus.with_split(df).groupBy("text").agg({"split": "min"}).count()
+    assert sides == 50
+    assert corpus.with_split(df).select("text", "split").distinct().count() == 50
