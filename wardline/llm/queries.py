@@ -43,6 +43,13 @@ def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(S.joined(base), 256).alias("base_sha256"), S.joined(F.col("san_spans")).alias("spans"))
 
 
+def op4_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
+    from wardline.llm.secret_scans import scan
+
+    return scan(table(spark, sf, "documents")).select(
+        "doc_id", "start", "length", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from wardline.llm.embed_dedup import near_duplicates
 
@@ -243,7 +250,7 @@ FROM x JOIN r USING (part, bit) GROUP BY part, filter_order, step"""
 
 
 QUERIES = {
-    "op1_ann": op1_ann, "op2_warc": op2_warc, "op3_pii": op3_pii, "op5_embedding_near_dedup": op5_embedding_near_dedup, "op6_packing": op6_packing,
+    "op1_ann": op1_ann, "op2_warc": op2_warc, "op3_pii": op3_pii, "op4_secret_scans": op4_secret_scans, "op5_embedding_near_dedup": op5_embedding_near_dedup, "op6_packing": op6_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing,
     "op11_language_id": op11_language_id, "op12_turn_repair": op12_turn_repair, "op13_filter_audit": op13_filter_audit,
 }
