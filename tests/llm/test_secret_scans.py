@@ -50,10 +50,11 @@ def test_held_out_findings(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     made = S.made_findings(docs, limit=800)
     split = F.crc32("candidate") % 4 == 0
-    bits = S.bigrams(docs)
-    model = S.train(made.where(~split), docs, bits)
+    words = S.word_counts(docs)
+    bits = S.bigrams(words)
+    model = S.train(made.where(~split), words, bits)
     held = made.where(split)
-    scored = model.transform(S._vectors(S.with_features(held, docs, bits))).select("label", "prediction").collect()
+    scored = model.transform(S._vectors(S.with_features(held, words, bits))).select("label", "prediction").collect()
     assert len(scored) > 100 and sum(r.label == r.prediction for r in scored) / len(scored) > 0.93
 
 

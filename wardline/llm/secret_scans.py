@@ -56,10 +56,14 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"([a-z]{{{LEAST_LETTERS},}})"), F.lit(1))
 
 
-def bigrams(docs: DataFrame, text: str = "text") -> dict[str, float]:
-    """Bits that each pair of letters carries in the corpus' words; at most 26 x 26 entries. Counted over all texts, by way of
-    their distinct words."""
-    words = docs.select(F.explode(_words(F.col(text))).alias("w")).groupBy("w").count()
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``w, count``: every word of every text (3 letters and more, without their case), counted once and kept."""
+    return cut(docs.select(F.explode(F.split(F.lower(F.col(text)), "[^a-z]+")).alias("w")).where(
+        F.length("w") >= LEAST_LETTERS).groupBy("w").count())
+
+
+def bigrams(words: DataFrame) -> dict[str, float]:
+    """Bits that each pair of letters carries in the corpus' words; at most 26 x 26 entries."""
     pairs = words.select("count", F.explode(F.transform(
         F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substr("w", i, F.lit(2)))).alias("pair"))
     found = {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.sum("count").alias("n")).collect()}
@@ -71,7 +75,7 @@ def bigrams(docs: DataFrame, text: str = "text") -> dict[str, float]:
     return {pair: -math.log2(n / first[pair[0]]) for pair, n in found.items()}
 
 
-def with_features(found: DataFrame, docs: DataFrame, bits: dict[str, float], text: str = "text") -> DataFrame:
+def with_features(found: DataFrame, words: DataFrame, bits: dict[str, float]) -> DataFrame:
     """``found`` and ``FEATURES``. ``found``: ``row, path, start, candidate, before, after``.
 
     Dictionary coverage: the letters of a candidate that lie in words which the corpus uses, as a part of its length. Words and
@@ -79,8 +83,7 @@ def with_features(found: DataFrame, docs: DataFrame, bits: dict[str, float], tex
     """
     pieces = found.select("candidate").distinct().select("candidate", F.explode(F.array_distinct(_words(F.col("candidate")))).alias("w"))
     wanted = pieces.select("w").distinct()
-    known = docs.select(F.explode(_words(F.col(text))).alias("w")).groupBy("w").count().where(F.col("count") >= KNOWN_WORDS).join(
-        wanted, "w", "left_semi").select("w")
+    known = words.where(F.col("count") >= KNOWN_WORDS).join(wanted, "w", "left_semi").select("w")
     covered = pieces.join(known, "w").groupBy("candidate").agg(F.collect_set("w").alias("known"))
     c, lower, n = F.col("candidate"), F.lower("candidate"), F.length("candidate").cast("double")
     table = F.create_map(*[F.lit(x) for pair in sorted(bits.items()) for x in pair]) if bits else F.create_map(F.lit(""), F.lit(0.0))
@@ -137,9 +140,9 @@ def made_findings(docs: DataFrame, id: str = "doc_id", text: str = "text", limit
         (kind < 6).cast("double").alias("label")).where(F.col("candidate").rlike("^[A-Za-z0-9+/_=-]{16,}$"))
 
 
-def train(findings: DataFrame, docs: DataFrame, bits: dict[str, float], text: str = "text") -> RandomForestClassificationModel:
+def train(findings: DataFrame, words: DataFrame, bits: dict[str, float]) -> RandomForestClassificationModel:
     """The forest from labelled findings (``path, candidate, before, after, label``), about ``MAX_FINDINGS`` of them."""
-    rows = cut(with_features(findings.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("path", "before", "after")}), docs, bits, text))
+    rows = cut(with_features(findings.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("path", "before", "after")}), words, bits))
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, maxBins=BINS, seed=SEED)
     return forest.fit(_vectors(rows).select("features", "label").orderBy("features").coalesce(1))
 
@@ -159,17 +162,18 @@ def scan(
 
     A null or empty text holds no candidate, a null path is empty. Rows with null or repeated ids are scanned like others,
     repeated rows give repeated findings. Without labelled findings of both kinds (an empty table) every score is 0.
-    Everything runs in the JVM; ``docs`` is read for the letter pairs, the dictionary and the candidates.
+    Everything runs in the JVM; ``docs`` is read for its words, for the candidates and, without ``findings``, for the sample.
     """
     need(docs, [id, text, path])
     found = cut(candidates(docs, id, text, path))
-    bits = bigrams(docs, text)
+    words = word_counts(docs, text)
+    bits = bigrams(words)
     labelled = cut((findings if findings is not None else made_findings(docs, id, text)).select(
         "path", "candidate", "before", "after", F.col("label").cast("double").alias("label")).where("label is not null and candidate is not null"))
     out = ["doc_id", "start", F.length("candidate").alias("length"), "candidate"]
     if labelled.select("label").distinct().count() < 2:
         return found.select(*out, F.lit(0.0).alias("score"), F.lit(0).alias("is_secret"))
-    model = train(labelled, docs, bits, text)
-    scored = model.transform(_vectors(with_features(found.withColumnRenamed("start", "_start"), docs, bits, text)))
+    model = train(labelled, words, bits)
+    scored = model.transform(_vectors(with_features(found.withColumnRenamed("start", "_start"), words, bits)))
     share = vector_to_array("probability")[1]
     return scored.select("doc_id", F.col("_start").alias("start"), *out[2:], share.alias("score"), (share >= threshold).cast("int").alias("is_secret"))
