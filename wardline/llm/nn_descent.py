@@ -14,15 +14,19 @@ from pyspark.sql import functions as F
 from wardline.llm.common import cut, need, release, shuffle_partitions
 from wardline.llm.vectors import distinct_vectors, pick_vectors
 
-#: Neighbours kept a node, neighbours that take part a round and kind (new, old), rounds at most, and the share of changed
-#: neighbours below which the rounds end.
-DEGREE, SAMPLE, ROUNDS, LEAST_CHANGE = 32, 8, 4, 0.01
+#: Neighbours kept a node, neighbours that take part a round and kind (new, old), and the share of changed neighbours below
+#: which the rounds end.
+DEGREE, SAMPLE, LEAST_CHANGE = 32, 8, 0.01
 #: Starting buckets: sign codes of so many trees, of about so many nodes.
 TREES, BUCKET = 2, 192
-#: Search: entry nodes, nodes expanded a query and step, candidates kept a query, steps at most.
-ENTRIES, EXPAND, BEAM, STEPS = 512, 64, 640, 10
-#: Candidates that are scored again on the original vectors, as a multiple of k.
-RESCORE = 2
+#: Search: entry nodes a band of norms and longest vectors among them, nodes expanded a query and step, candidates kept a query.
+ENTRIES, EXPAND, BEAM = 256, 64, 640
+#: Of the edges that lead to a node, it also gets the way back: those of the first BACK neighbours, the closest 2 * DEGREE.
+BACK = 12
+#: Candidates that are scored again on the original vectors: RESCORE * k, and all that come as close as float32 can tell.
+RESCORE, CLOSE = 2, 1e-5
+#: Cells or queries that a task works on at a time.
+SLICE = 128
 GRAPH = "node long, vec binary, ids array<long>, sims array<float>, fresh array<boolean>"
 
 
@@ -35,8 +39,13 @@ def mix(*parts: np.ndarray | int) -> np.ndarray:
     return out
 
 
-def half(vectors: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(vectors), np.float16).reshape(len(vectors), -1).astype(np.float32)
+def lifted(vectors: list[bytes]) -> np.ndarray:
+    """Rows of unit length, see ``graph_vectors``; the band, which stands last, is left out."""
+    return np.frombuffer(b"".join(vectors), np.float32).reshape(len(vectors), -1)[:, :-1]
+
+
+def bands(vectors: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), np.float32).reshape(len(vectors), -1)[:, -1]
 
 
 def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -44,18 +53,30 @@ def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*values, np.empty(0)]).astype(kind.to_pandas_dtype()), kind))
 
 
-def graph_vectors(classes: DataFrame, largest: float) -> DataFrame:
-    """``node, vec``: half-precision vectors of equal length. One more component lifts every vector to the largest norm, so that
-    the largest inner product with a query is the largest cosine here, and the graph's neighbourhood is a symmetric one."""
+def graph_vectors(classes: DataFrame) -> DataFrame:
+    """``node, band, vec, short``: a vector of band b has a norm of ``2 ** b`` up to ``2 ** (b + 1)``; ``short`` is its lift.
+
+    ``vec`` holds float32: the vector over ``2 ** (b + 1)``, one more component that lifts it to length 1, and the band. Within
+    a band the largest inner product with a query is then the largest cosine, neighbourhood is symmetric, and the lift never
+    outweighs the vector, however far the norms of the table lie apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<f8").reshape(batch.num_rows, -1) / largest
-            more = np.sqrt(np.maximum(0.0, 1.0 - np.einsum("ij,ij->i", x, x)))
-            rows = np.concatenate([x, more[:, None]], axis=1).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["node", "vec"])
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<f8").reshape(batch.num_rows, -1)
+            scale = np.abs(x).max(1)
+            unit = x / scale[:, None]
+            norm = np.sqrt(np.einsum("ij,ij->i", unit, unit))
+            band = np.floor(np.log2(norm) + np.log2(scale))
+            part = np.exp2(np.log2(norm) + np.log2(scale) - band - 1)  # of the band's upper end
+            x = unit * (part / norm)[:, None]
+            more = np.sqrt(np.maximum(0.0, 1.0 - part * part))
+            rows = np.concatenate([x, more[:, None], band[:, None]], axis=1).astype(np.float32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(band.astype(np.int32)), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(more)],
+                ["node", "band", "vec", "short"])
 
-    return classes.select("rid", "raw").mapInArrow(run, "node long, vec binary")
+    return classes.select("rid", "raw").mapInArrow(run, "node long, band int, vec binary, short double")
 
 
 def merged(ids: np.ndarray, sims: np.ndarray, fresh: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,26 +95,31 @@ def chosen(node: int, ids: np.ndarray, fresh: np.ndarray, round_: int, sample: i
     return order[fresh[order]][:sample], order[~fresh[order]][:sample]
 
 
-def first_neighbours(vectors: DataFrame, nodes: int, dim: int, degree: int, seed: int) -> DataFrame:
-    """``node, b, sim`` from buckets of nodes whose random projections have the same signs; large buckets are cut by hash."""
-    bits = max(0, int(np.ceil(np.log2(max(1.0, nodes / BUCKET)))))
-    planes = np.random.default_rng([seed, dim]).standard_normal((TREES * bits, dim)).astype(np.float32)
+def first_neighbours(vectors: DataFrame, sizes: dict[int, int], dim: int, degree: int, seed: int) -> DataFrame:
+    """``node, b, sim`` from buckets of nodes of a band whose random projections have the same signs; large buckets are cut by
+    hash. Signs are of the vectors themselves: neither norm nor lift moves them. ``sizes``: nodes of each band."""
+    bits = {b: max(0, int(np.ceil(np.log2(max(1.0, n / BUCKET))))) for b, n in sizes.items()}
+    most = max(bits.values())
+    planes = np.random.default_rng([seed, dim]).standard_normal((TREES * most, dim - 1)).astype(np.float32)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vec = half(batch.column(1).to_pylist())
-            sign = (vec @ planes.T > 0).reshape(len(vec), TREES, bits) if bits else np.zeros((len(vec), TREES, 0), bool)
-            codes = sign @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros((len(vec), TREES), np.int64)
+            band = batch.column(1).to_numpy()
+            vec = lifted(batch.column(2).to_pylist())[:, :-1]
+            codes = np.zeros((len(vec), TREES), np.int64)
+            if most:
+                sign = (vec @ planes.T > 0).reshape(len(vec), TREES, most)
+                codes = (sign @ (1 << np.arange(most, dtype=np.int64))) & np.array([(1 << bits[int(b)]) - 1 for b in band])[:, None]
             for t in range(TREES):
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(vec), t, np.int32)), pa.array(codes[:, t].astype(np.int64)), batch.column(0), batch.column(1)],
-                    ["tree", "code", "node", "vec"])
+                    batch.column(1), pa.array(np.full(len(vec), t, np.int32)), pa.array(codes[:, t].astype(np.int64)), batch.column(0),
+                    batch.column(2)], ["band", "tree", "code", "node", "vec"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cell in batch.column(0):
                 t = pa.RecordBatch.from_struct_array(cell.values)
-                node, vec = t.column("node").to_numpy(), half(t.column("vec").to_pylist())
+                node, vec = t.column("node").to_numpy(), lifted(t.column("vec").to_pylist())
                 if len(node) < 2:
                     continue
                 for i in range(0, len(node), 1024):
@@ -105,10 +131,10 @@ def first_neighbours(vectors: DataFrame, nodes: int, dim: int, degree: int, seed
                         pa.array(np.repeat(node[i:i + 1024], k)), pa.array(node[best].ravel()),
                         pa.array(np.take_along_axis(sims, best, 1).ravel())], ["node", "b", "sim"])
 
-    coded = vectors.mapInArrow(code, "tree int, code long, node long, vec binary")
-    parts = coded.groupBy("tree", "code").agg(F.ceil(F.count("*") / F.lit(2.0 * BUCKET)).cast("int").alias("parts"))
-    cells = coded.join(parts, ["tree", "code"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
-    return cells.groupBy("tree", "code", "part").agg(F.collect_list(F.struct("node", "vec")).alias("rows")).select("rows").mapInArrow(
+    coded = vectors.select("node", "band", "vec").mapInArrow(code, "band int, tree int, code long, node long, vec binary")
+    parts = coded.groupBy("band", "tree", "code").agg(F.ceil(F.count("*") / F.lit(2.0 * BUCKET)).cast("int").alias("parts"))
+    cells = coded.join(parts, ["band", "tree", "code"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
+    return cells.groupBy("band", "tree", "code", "part").agg(F.collect_list(F.struct("node", "vec")).alias("rows")).select("rows").mapInArrow(
         compare, "node long, b long, sim float")
 
 
@@ -169,52 +195,64 @@ def neighbour_pairs(graph: DataFrame, degree: int, round_: int, sample: int) ->
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, s = [], [], []
-            for cell in batch.column(0):
-                t = pa.RecordBatch.from_struct_array(cell.values)
-                node, one = np.unique(t.column("node").to_numpy(), return_index=True)
-                fresh = t.column("fresh").to_numpy(zero_copy_only=False)
-                known = np.zeros(len(node), bool)
-                np.logical_or.at(known, np.searchsorted(node, t.column("node").to_numpy()), fresh)
-                vec = half([t.column("vec")[int(i)].as_py() for i in one])
-                sims = vec @ vec.T
-                np.fill_diagonal(sims, -np.inf)
-                hit = (sims > t.column("worst").to_numpy()[one][:, None]) & (known[:, None] | known[None, :])
-                x, y = np.nonzero(hit)
-                a.append(node[x]), b.append(node[y]), s.append(sims[x, y])
-            a, b, s = np.concatenate(a), np.concatenate(b), np.concatenate(s)
-            order = np.lexsort((b, -s, a))  # once each, and no more than a node can keep
-            a, b, s = a[order], b[order], s[order]
-            once = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.empty(0, bool)
-            a, b, s = a[once], b[once], s[once]
-            begin = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, int)
-            place = np.arange(len(a)) - np.repeat(begin, np.diff(np.r_[begin, len(a)]))
-            kept = place < degree
-            yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept]), pa.array(s[kept])], ["node", "b", "sim"])
+            for at in range(0, batch.num_rows, SLICE):
+                yield joined(batch.slice(at, SLICE).column(0))
+
+    def joined(cells) -> pa.RecordBatch:
+        a, b, s = [], [], []
+        for cell in cells:
+            t = pa.RecordBatch.from_struct_array(cell.values)
+            node, one = np.unique(t.column("node").to_numpy(), return_index=True)
+            fresh = t.column("fresh").to_numpy(zero_copy_only=False)
+            known = np.zeros(len(node), bool)
+            np.logical_or.at(known, np.searchsorted(node, t.column("node").to_numpy()), fresh)
+            vec = lifted([t.column("vec")[int(i)].as_py() for i in one])
+            sims = vec @ vec.T
+            np.fill_diagonal(sims, -np.inf)
+            hit = (sims > t.column("worst").to_numpy()[one][:, None]) & (known[:, None] | known[None, :])
+            x, y = np.nonzero(hit)
+            a.append(node[x]), b.append(node[y]), s.append(sims[x, y])
+        a, b, s = np.concatenate(a), np.concatenate(b), np.concatenate(s)
+        order = np.lexsort((b, -s, a))  # once each, and no more than a node can keep
+        a, b, s = a[order], b[order], s[order]
+        once = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.empty(0, bool)
+        a, b, s = a[once], b[once], s[once]
+        begin = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, int)
+        place = np.arange(len(a)) - np.repeat(begin, np.diff(np.r_[begin, len(a)]))
+        kept = place < degree
+        return pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept]), pa.array(s[kept])], ["node", "b", "sim"])
 
     return full.mapInArrow(join, "node long, b long, sim float")
 
 
-def build_graph(vectors: DataFrame, nodes: int, dim: int, degree: int = DEGREE, sample: int = SAMPLE, rounds: int = ROUNDS,
-                seed: int = 11) -> DataFrame:
-    """NN-descent over ``node, vec``: every round joins neighbours of neighbours and keeps each node's best ``degree``."""
-    spark = vectors.sparkSession
+def build_graph(vectors: DataFrame, sizes: dict[int, int], dim: int, degree: int = DEGREE, sample: int = SAMPLE,
+                least_change: float = LEAST_CHANGE, seed: int = 11) -> DataFrame:
+    """NN-descent over ``node, band, vec``: every round joins neighbours of neighbours and keeps each node's best ``degree``.
+
+    Rounds go on until fewer than ``least_change`` of all neighbours are new; a node's neighbours only ever get closer, so they end.
+    """
+    spark, nodes = vectors.sparkSession, sum(sizes.values())
     none = F.array()
     bare = vectors.select("node", "vec", none.cast("array<long>").alias("ids"), none.cast("array<float>").alias("sims"),
                           none.cast("array<boolean>").alias("fresh"))
-    graph = cut(merge_into(bare, first_neighbours(vectors, nodes, dim, degree, seed), degree, -1, sample))
-    for round_ in range(rounds):
+    graph = cut(merge_into(bare, first_neighbours(vectors, sizes, dim, degree, seed), degree, -1, sample))
+    round_, changed = 0, nodes * degree
+    while changed > least_change * nodes * degree:
         graph = cut(merge_into(graph, neighbour_pairs(graph, degree, round_, sample), degree, round_, sample))
         release(spark)
+        # What is new and did not wait for its turn already.
         changed = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0] or 0
-        if changed < LEAST_CHANGE * nodes * degree:
-            break
+        round_ += 1
     return graph
 
 
-def adjacency(graph: DataFrame, name: str) -> DataFrame:
-    """Each node with its neighbours' ids and vectors, bucketed by node: a search step then moves queries, never the graph."""
-    edges = graph.select("node", F.explode("ids").alias("b"))
+def adjacency(graph: DataFrame, name: str, degree: int = DEGREE) -> DataFrame:
+    """Each node with the ids and vectors of its neighbours and of nodes that it is a near neighbour of, so that none is out of
+    reach; bucketed by node: a search step then moves queries, never the graph."""
+    ahead = graph.select("node", F.posexplode("ids").alias("place", "b"))
+    back = ahead.where(F.col("place") < BACK).withColumn("rank", F.row_number().over(
+        Window.partitionBy("b").orderBy("place", F.xxhash64("node")))).where(F.col("rank") <= 2 * degree)
+    edges = ahead.select("node", "b").unionByName(back.select(F.col("b").alias("node"), F.col("node").alias("b"))).distinct()
     rows = edges.join(graph.select(F.col("node").alias("b"), "vec"), "b").groupBy("node").agg(
         F.collect_list(F.struct("b", "vec")).alias("next")).select("node", F.col("next.b").alias("ids"), F.col("next.vec").alias("vecs"))
     spark = graph.sparkSession
@@ -222,16 +260,28 @@ def adjacency(graph: DataFrame, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def search(queries: DataFrame, graph: DataFrame, dim: int, expand: int = EXPAND, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
-    """Greedy graph search. ``queries``: ``qid, vec`` (binary floats of ``dim`` components) and ``start`` (a node or null).
+def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, expand: int = EXPAND, beam: int = BEAM) -> DataFrame:
+    """Greedy graph search. ``queries``: ``qid, vec`` (a unit vector as float32, then 0 for the lift) and ``start`` (a node or null).
 
     Returns ``qid, ids, sims``: up to ``beam`` best nodes seen. A query holds its best candidates; each step expands the best ones not
     yet expanded, ``expand`` at once, through one join with the adjacency; a step returns only neighbours that beat the query's
-    worst candidate. It ends when every query's candidates are all expanded.
+    worst candidate. It ends when every query's candidates are all expanded. Similarities of all bands are on one scale. Entries
+    are ``ENTRIES`` nodes of each band, one half by hash and one half the longest vectors.
     """
     spark = queries.sparkSession
-    entries = graph.select("node", "vec").orderBy(F.xxhash64("node")).limit(ENTRIES).collect()
-    entry_ids, entry_vecs = np.array([r["node"] for r in entries]), half([bytes(r["vec"]) for r in entries])
+    half = ENTRIES // 2
+    ways = vectors.withColumns({
+        "by_hash": F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("node"))),
+        "by_norm": F.row_number().over(Window.partitionBy("band").orderBy("short", "node")),
+    })
+    entries = ways.where((F.col("by_hash") <= half) | (F.col("by_norm") <= half)).select("node", "band", "vec").collect()
+    top = max(r["band"] for r in entries)
+
+    def scale(band: np.ndarray) -> np.ndarray:
+        return np.exp2(np.asarray(band, np.float64) - top).astype(np.float32)
+
+    entry_ids, entry_vecs = np.array([r["node"] for r in entries]), lifted([bytes(r["vec"]) for r in entries])
+    entry_scale = scale(np.array([r["band"] for r in entries]))
     state_type = "qid long, vec binary, ids array<long>, sims array<float>, done array<boolean>, open int"
 
     def pending(done: np.ndarray) -> np.ndarray:
@@ -248,7 +298,7 @@ def search(queries: DataFrame, graph: DataFrame, dim: int, expand: int = EXPAND,
         for batch in batches:
             rows = []
             for q, start in zip(batch.column("vec").to_pylist(), batch.column("start").to_pylist()):
-                sims = entry_vecs @ np.frombuffer(q, np.float32)
+                sims = entry_vecs @ np.frombuffer(q, np.float32) * entry_scale
                 ids = entry_ids
                 if start is not None:  # always expanded first; its true similarity is at most 1
                     ids, sims = np.append(ids, start), np.append(sims, np.float32(2.0))
@@ -260,26 +310,29 @@ def search(queries: DataFrame, graph: DataFrame, dim: int, expand: int = EXPAND,
             yield out(batch, rows)
 
     def frontier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            qid, node, vec, least = [], [], [], []
-            for q, v, ids, sims, done in zip(*(batch.column(c) for c in ("qid", "vec", "ids", "sims", "done"))):
-                d, s = done.values.to_numpy(zero_copy_only=False), sims.values.to_numpy()
-                at = pending(d)
-                node.append(ids.values.to_numpy()[at])
-                qid += [q.as_py()] * len(at)
-                vec += [v.as_py()] * len(at)
-                least += [float(s[-1]) if len(s) >= beam else -2.0] * len(at)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(qid, pa.int64()), pa.array(np.concatenate(node)), pa.array(vec, pa.binary()), pa.array(least, pa.float32())],
-                ["qid", "node", "vec", "least"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(i, SLICE)
+                qid, node, vec, least = [], [], [], []
+                for q, v, ids, sims, done in zip(*(batch.column(c) for c in ("qid", "vec", "ids", "sims", "done"))):
+                    d, s = done.values.to_numpy(zero_copy_only=False), sims.values.to_numpy()
+                    at = pending(d)
+                    node.append(ids.values.to_numpy()[at])
+                    qid += [q.as_py()] * len(at)
+                    vec += [v.as_py()] * len(at)
+                    least += [float(s[-1]) if len(s) >= beam else -2.0] * len(at)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(qid, pa.int64()), pa.array(np.concatenate(node)), pa.array(vec, pa.binary()), pa.array(least, pa.float32())],
+                    ["qid", "node", "vec", "least"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
                 ids, sims = [], []
                 for q, least, a, v in zip(part.column("vec").to_pylist(), part.column("least").to_pylist(), part.column("ids"), part.column("vecs")):
-                    s = half(v.values.to_pylist()) @ np.frombuffer(q, np.float32)
+                    seen = v.values.to_pylist()
+                    s = lifted(seen) @ np.frombuffer(q, np.float32) * scale(bands(seen))
                     hit = s > least
                     ids.append(a.values.to_numpy()[hit])
                     sims.append(s[hit])
@@ -300,24 +353,24 @@ def search(queries: DataFrame, graph: DataFrame, dim: int, expand: int = EXPAND,
             yield out(batch, rows)
 
     name = f"nn_graph_{uuid.uuid4().hex}"
-    next_ = adjacency(graph, name)
-    state = cut(queries.select("qid", "vec", "start").mapInArrow(begin, state_type))
-    for _ in range(steps):
-        asked = state.where("open > 0").mapInArrow(frontier, "qid long, node long, vec binary, least float")
-        seen = asked.join(next_, "node").select("qid", "vec", "least", "ids", "vecs").mapInArrow(
-            visit, "qid long, ids array<long>, sims array<float>")
-        gathered = seen.where(F.size("ids") > 0).groupBy("qid").agg(F.collect_list(F.struct("ids", "sims")).alias("more"))
-        state = cut(state.join(gathered, "qid", "left").select("qid", "vec", "ids", "sims", "done", "more").mapInArrow(advance, state_type))
-        release(spark)
-        if not state.where("open > 0").limit(1).count():
-            break
-    spark.sql(f"DROP TABLE {name}")
+    try:
+        next_ = adjacency(graph, name)
+        state = cut(queries.select("qid", "vec", "start").mapInArrow(begin, state_type))
+        while state.where("open > 0").limit(1).count():
+            asked = state.where("open > 0").mapInArrow(frontier, "qid long, node long, vec binary, least float")
+            seen = asked.join(next_, "node").select("qid", "vec", "least", "ids", "vecs").mapInArrow(
+                visit, "qid long, ids array<long>, sims array<float>")
+            gathered = seen.where(F.size("ids") > 0).groupBy("qid").agg(F.collect_list(F.struct("ids", "sims")).alias("more"))
+            state = cut(state.join(gathered, "qid", "left").select("qid", "vec", "ids", "sims", "done", "more").mapInArrow(advance, state_type))
+            release(spark)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     return state.select("qid", "ids", "sims")
 
 
 def nearest(
     vectors: DataFrame, wanted, *, id: str = "vec_id", vector: str = "embedding", k: int = 20, degree: int = DEGREE,
-    rounds: int = ROUNDS, expand: int = EXPAND, beam: int = BEAM, steps: int = STEPS,
+    expand: int = EXPAND, beam: int = BEAM,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` largest inner products that the search finds for each row where ``wanted`` holds.
 
@@ -332,23 +385,17 @@ def nearest(
     classes, member = distinct_vectors(rows)
     member = cut(member.distinct())
     parts = []
-    for dim, nodes in sorted((r["dim"], r["n"]) for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()):
-        parts.append(_nearest(classes.where(F.col("dim") == dim), member, wanted, dim, nodes, k, degree, rounds, expand, beam, steps))
+    for dim in sorted(r["dim"] for r in classes.select("dim").distinct().collect()):
+        parts.append(_nearest(classes.where(F.col("dim") == dim), member, wanted, dim, k, degree, expand, beam))
     if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return reduce(DataFrame.unionByName, parts)
 
 
-def _nearest(classes, member, wanted, dim, nodes, k, degree, rounds, expand, beam, steps) -> DataFrame:
-    spark: SparkSession = classes.sparkSession
-    def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<f8").reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([pa.array([float(np.sqrt(np.einsum("ij,ij->i", x, x).max()))])], ["norm"])
-
-    largest = classes.select("raw").mapInArrow(norms, "norm double").agg(F.max("norm")).first()[0]
-    vectors = cut(graph_vectors(classes, largest))
-    graph = build_graph(vectors, nodes, dim + 1, degree, rounds=rounds)
+def _nearest(classes, member, wanted, dim, k, degree, expand, beam) -> DataFrame:
+    vectors = cut(graph_vectors(classes))
+    sizes = {r["band"]: r["count"] for r in vectors.groupBy("band").count().collect()}  # a double has about 2,000 bands at most
+    graph = build_graph(vectors, sizes, dim + 1, degree)
 
     asking = member.where(wanted).join(classes.select("digest", "rid"), "digest").select("id", "rid")
     asking = cut(asking)
@@ -360,10 +407,12 @@ def _nearest(classes, member, wanted, dim, nodes, k, degree, rounds, expand, bea
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(0)], ["qid", "vec", "start"])
 
     asked = classes.join(asking.select("rid").distinct(), "rid", "left_semi").select("rid", "unit")
-    found = search(asked.mapInArrow(prepare, "qid long, vec binary, start long"), graph, dim + 1, expand, beam, steps)
+    found = search(asked.mapInArrow(prepare, "qid long, vec binary, start long"), graph, vectors, expand, beam)
 
     # The best of them once more, in double precision on the original vectors.
-    best = found.select("qid", F.explode(F.slice("ids", 1, RESCORE * k + 1)).alias("rid"))
+    least = F.element_at("sims", F.least(F.size("sims"), F.lit(RESCORE * k + 1))) - F.lit(CLOSE)
+    best = found.withColumn("least", least).select("qid", "least", F.inline(F.arrays_zip("ids", "sims"))).where(
+        F.col("sims") >= F.col("least")).select("qid", F.col("ids").alias("rid"))
     raw = classes.select("rid", "raw")
     paired = best.join(raw, "rid").join(raw.select(F.col("rid").alias("qid"), F.col("raw").alias("query")), "qid")
 
