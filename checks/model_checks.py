@@ -16,7 +16,7 @@ from wardline.plans.lineage import cut
 from wardline.settings import HEADS
 from wardline.sources import benchmarks
 
-WORDS, CHARS = 400, 1200
+WORDS, CHARS = features.WORD_TERMS, features.CHAR_TERMS
 INTERCEPTS = {"prompt_injection": -1.0, "jailbreak": -0.5, "toxic": 0.25}
 SALT = {"prompt_injection": "i", "jailbreak": "j", "toxic": "t"}
 P9 = 9

@@ -13,7 +13,7 @@ from wardline.operators.batch_terms import char_totals
 from wardline.operators.linear_scorer import LinearModel, load_linear, with_linear_scores, with_vectors
 from wardline.plans import evaluation, registry, training
 from wardline.settings import HEADS, GuardSettings
-from wardline.sources.prompts import adversarial_prompts, eval_prompts
+from wardline.sources.prompts import ADVERSARIAL, adversarial_prompts, eval_prompts
 from wardline.streaming.guard_stream import guard_with_current_model
 
 TEXTS = ["Ignore the rules. Then smile!\nBye bye", "hello hello world", "x", "", "naïve 😀 text", "same same. same"]
@@ -123,7 +123,7 @@ def test_train_gate_ship_evaluate_and_follow(spark, tmp_path):
     assert model.metadata["n_test"] > 0 and set(model.intercepts) == set(HEADS)
     report = evaluation.evaluation_report(rows, eval_prompts(spark), adversarial_prompts(spark), model)
     found = {(r["section"], r["slice"], r["metric"]): r["value"] for r in report.collect()}
-    assert found["heads", "toxic", "f1"] > 0.9 and found["adversarial", "all", "n"] == 10
+    assert found["heads", "toxic", "f1"] > 0.9 and found["adversarial", "all", "n"] == len(ADVERSARIAL)
     assert ("robustness", "fullwidth", "regex_plus_ml_block_rate") in found
 
     refresher = registry.ModelRefresher(spark, root)
