@@ -153,3 +153,57 @@ def test_eval_sets_have_the_documented_shape(spark):
     assert set(counts) == {"safe", "prompt_injection", "jailbreak", "toxic"} and min(counts.values()) >= 5
     attacks = {r["label"] for r in adversarial_prompts(spark).collect()}
     assert attacks == {"prompt_injection", "jailbreak"}
+
+
+def test_version_as_of_a_time(spark, tmp_path):
+    from datetime import datetime, timedelta, timezone
+
+    root, base = str(tmp_path / "models"), datetime(2024, 1, 1, tzinfo=timezone.utc)
+    assert registry.activations(spark, root) is None
+    for version, hours in (("v1", 0), ("v2", 5), ("v1", 9)):
+        registry.activate(spark, root, version, base + timedelta(hours=hours))
+    pointer = registry.activations(spark, root)
+    rows = [(i, base + timedelta(hours=h)) for i, h in enumerate((-1, 0, 4.99, 5, 8, 9, 100))] + [(9, None), (1, base)]
+    df = spark.createDataFrame([(*r, "x", "own") for r in rows], "id INT, ts TIMESTAMP, at STRING, model_version STRING")
+    got = [(r["id"], r["model_version"]) for r in registry.version_as_of(df, pointer).collect()]
+    want = [(0, None), (1, "v1"), (2, "v1"), (3, "v2"), (4, "v2"), (5, "v1"), (6, "v1"), (9, None), (1, "v1")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    none = registry.version_as_of(df, pointer.where("false"))
+    assert none.count() == len(rows) and none.where("model_version is not null").count() == 0
+    assert registry.current_version(spark, root, base + timedelta(hours=6)) == "v2"
+    assert registry.current_version(spark, root, base - timedelta(hours=6)) is None
+    plan = registry.version_as_of(df, pointer)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_alerts_are_written_once_when_a_batch_runs_again(spark, tmp_path):
+    from wardline.sources.chat import append_alerts, read_alerts, write_alerts
+
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for i in range(3):
+        spark.createDataFrame([(f"alert {i}.{k}",) for k in range(4)], "alert STRING").coalesce(1).write.mode("append").parquet(source)
+    stream = lambda: spark.readStream.schema("alert STRING").option("maxFilesPerTrigger", 1).parquet(source)
+    # A writer that dies after its files are there, before its batch is committed.
+    died = []
+
+    def write_and_die(rows, batch_id):
+        append_alerts(rows, batch_id, out)
+        if batch_id == 1 and not died:
+            died.append(batch_id)
+            raise RuntimeError("killed")
+
+    first = stream().writeStream.foreachBatch(write_and_die).option("checkpointLocation", state).trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="killed"):
+        first.awaitTermination(60)
+    assert died == [1] and read_alerts(spark, out).count() == 8
+    assert write_alerts(stream(), out, state).awaitTermination(60)
+    lines = sorted(r["value"] for r in read_alerts(spark, out).collect())
+    assert lines == [f"alert {i}.{k}" for i in range(3) for k in range(4)]
+
+
+def test_a_head_without_both_kinds_is_named(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = spark.createDataFrame([("safe", Vectors.dense([1.0])), ("toxic", Vectors.dense([2.0]))], ["label", "features"])
+    with pytest.raises(ValueError, match="prompt_injection"):
+        training.fit_heads(rows)

@@ -15,6 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.operators.blocks import not_above
 from wardline.operators.linear_scorer import LinearModel, load_linear
 from wardline.operators.selection import newest_versions
 from wardline.settings import HEADS
@@ -44,24 +45,49 @@ def write_version(terms: DataFrame, root: str, version: str, intercepts: dict[st
     spark.createDataFrame(row, "version STRING, metadata STRING").write.mode("append").parquet(f"{root}/versions")
 
 
-def activate(spark: SparkSession, root: str, version: str) -> None:
+def activate(spark: SparkSession, root: str, version: str, at: datetime | None = None) -> None:
     """Repoint; an append, so readers never see a half-written pointer. Also rolls back to an older version."""
     spark.range(1).select(
-        F.lit(version).alias("version"), F.current_timestamp().alias("activated_at")
+        F.lit(version).alias("version"), (F.current_timestamp() if at is None else F.lit(at).cast("timestamp")).alias("activated_at")
     ).write.mode("append").parquet(f"{root}/pointer")
 
 
-def current_version(spark: SparkSession, root: str) -> str | None:
+def activations(spark: SparkSession, root: str) -> DataFrame | None:
+    """``version, activated_at`` of every activation; None when nothing was ever activated."""
     try:
-        pointer = spark.read.parquet(f"{root}/pointer")
+        return spark.read.parquet(f"{root}/pointer")
     except AnalysisException:
         return None
-    return pointer.agg(F.max_by("version", "activated_at")).first()[0]
 
 
-def load_model(spark: SparkSession, root: str, version: str | None = None) -> Model | None:
-    """J8. The current version, or a pinned one; None when nothing was ever activated."""
-    version = version or current_version(spark, root)
+def current_version(spark: SparkSession, root: str, at: datetime | None = None) -> str | None:
+    """The version activated last, or last at a time: of equal times the greater name."""
+    pointer = activations(spark, root)
+    if pointer is None:
+        return None
+    if at is not None:
+        pointer = pointer.where(F.col("activated_at") <= F.lit(at))
+    return pointer.agg(F.max_by("version", F.struct("activated_at", "version"))).first()[0]
+
+
+def version_as_of(rows: DataFrame, pointer: DataFrame, at: str = "ts", out: str = "model_version") -> DataFrame:
+    """J8. Rows and the version that was current at each row's time; null before the first activation.
+
+    An as-of join: activations become spans from one to the next, sorted in one array (one entry an activation; deployments
+    are few next to requests), and each row finds its span by binary search in place. Rows are not shuffled. A null
+    time has no version; columns of ``rows`` keep their names, ``out`` is replaced.
+    """
+    times = F.array_sort(F.collect_list(F.struct(F.col("activated_at").alias("at"), "version")))
+    spans = pointer.where("activated_at is not null").groupBy().agg(times.alias("_spans"))
+    joined = rows.drop(out).join(F.broadcast(spans), F.lit(True), "left")
+    place = not_above(F.col("_spans.at"), F.col(at))
+    found = F.when(F.col(at).isNotNull() & (place > 0), F.get(F.col("_spans.version"), place - 1))
+    return joined.withColumn(out, found).drop("_spans")
+
+
+def load_model(spark: SparkSession, root: str, version: str | None = None, at: datetime | None = None) -> Model | None:
+    """J8. The current version, the one of a time, or a pinned one; None when none was active."""
+    version = version or current_version(spark, root, at)
     if version is None:
         return None
     versions = spark.read.parquet(f"{root}/versions").where(F.col("version") == version)
