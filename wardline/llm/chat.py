@@ -35,38 +35,45 @@ def branches(nodes: DataFrame, top: int = 1) -> DataFrame:
     branch scores the mean of its nodes' scores (null: 0); ties go to the smaller leaf. Paths are enumerated by
     iterative self-joins that double their reach: after k joins each node knows its ancestor 2^k steps up with the sum of
     scores between; the leaves are ranked, and only the chosen leaves walk back down the stored jumps, again doubling.
-    Cost: log2(depth) joins of slim rows, whatever the depth. Nodes on a cycle hang under no root and give no branch.
+    Cost: log2(depth) joins of slim rows, whatever the depth. Nodes on a cycle hang under no root and give no branch; ids
+    count within their tree; rows that repeat a node are one, with the smallest parent and the largest score; rows without a
+    node id give none.
     """
     need(nodes, ["tree", "node", "parent", "score"])
-    known = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    known = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")).groupBy(
+        "tree", "node").agg(F.min("parent").alias("parent"), F.max("score").alias("score"))
     folder = shared_folder(nodes.sparkSession, "branches")
+    same = F.col("l.tree").eqNullSafe(F.col("r.tree"))
     # A row without a parent meets itself in the join, so such rows never share a null key.
-    up = known.select(F.col("node").alias("key")).where("key is not null").distinct().withColumn("there", F.lit(True))
-    tied = known.withColumn("key", F.coalesce("parent", "node")).join(up, "key", "left")
+    up = known.select("tree", F.col("node").alias("key")).where("key is not null").withColumn("there", F.lit(True))
+    tied = known.withColumn("key", F.coalesce("parent", "node")).alias("l").join(
+        up.alias("r"), same & (F.col("l.key") == F.col("r.key")), "left").select("l.tree", "node", "parent", "score", "there")
     level = grown(tied.select(
-        "tree", "node", F.when(F.col("there"), F.col("parent")).alias("above"), F.col("score").alias("total"), F.lit(1).alias("length")),
-        f"{folder}/level", 0)
+        "tree", "node", F.when(F.col("there") & F.col("parent").isNotNull(), F.col("parent")).alias("above"),
+        F.col("score").alias("total"), F.lit(1).alias("length")), f"{folder}/level", 0)
     rows, jumps = level.count(), []
     going = level.where("above is not null")
     # Rows that reached their root rest in the table of the round in which they did, and take no part in later joins.
     while going.limit(1).count() and 2 ** len(jumps) <= 2 * max(rows, 1):
-        jumps.append(going.select("node", "above"))
+        jumps.append(going.select("tree", "node", "above"))
         k = len(jumps)
-        higher = level.select(
-            F.col("node").alias("above"), F.col("above").alias("above2"), F.col("total").alias("total2"), F.col("length").alias("length2"))
-        made = grown(going.join(higher, "above", "left").select(
-            "tree", "node", F.col("above2").alias("above"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
+        higher = level.select("tree", F.col("node").alias("at"), F.col("above").alias("above2"), F.col("total").alias("total2"),
+                              F.col("length").alias("length2"))
+        made = grown(going.alias("l").join(higher.alias("r"), same & (F.col("l.above") == F.col("r.at")), "left").select(
+            "l.tree", "node", F.col("above2").alias("above"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
             (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length")), f"{folder}/level", k)
         level = made.where((F.col("round") == k) | F.col("above").isNull())
         going = level.where("above is not null")
-    parents = known.select(F.col("parent").alias("node")).where("node is not null").distinct()
-    leaves = level.where("above is null").join(parents, "node", "left_anti")
+    parents = known.select("tree", F.col("parent").alias("at")).where("at is not null").distinct()
+    leaves = level.where("above is null and node is not null").alias("l").join(
+        parents.alias("r"), same & (F.col("l.node") == F.col("r.at")), "left_anti")
     order = Window.partitionBy("tree").orderBy((F.col("total") / F.col("length")).desc(), "node")
     chosen = leaves.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= top)
     walk = grown(chosen.select("tree", "branch", "node", (F.col("length") - 1).alias("position")), f"{folder}/walk", len(jumps))
     for k in reversed(range(len(jumps))):
-        walk = grown(walk.where(F.col("position") >= 2 ** k).join(jumps[k], "node").select(
-            "tree", "branch", F.col("above").alias("node"), (F.col("position") - 2 ** k).alias("position")), f"{folder}/walk", k)
+        walk = grown(walk.where(F.col("position") >= 2 ** k).alias("l").join(
+            jumps[k].alias("r"), same & (F.col("l.node") == F.col("r.node"))).select(
+            "l.tree", "branch", F.col("above").alias("node"), (F.col("position") - 2 ** k).alias("position")), f"{folder}/walk", k)
     return walk.drop("round")
 
 
@@ -103,8 +110,10 @@ def format_branches(nodes: DataFrame, top: int = 1) -> DataFrame:
     role = F.replace(escape(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit("~3"))
     head = F.concat(F.lit(OPEN), role, F.lit("\n"))
     whole = F.concat(head, F.when(trained, body).otherwise(F.concat(F.lit(ASK), body, F.lit(ASKED))), F.lit(CLOSE))
-    rows = path.join(nodes.select("node", "role", "text"), "node").select(
-        "tree", "branch", "position", whole.alias("whole"), F.length(whole).alias("width"),
+    told = nodes.groupBy("tree", "node").agg(F.min(F.struct("role", "text")).alias("said")).select("tree", "node", "said.role", "said.text")
+    rows = path.alias("l").join(
+        told.alias("r"), F.col("l.tree").eqNullSafe(F.col("r.tree")) & (F.col("l.node") == F.col("r.node"))).select(
+        "l.tree", "branch", "position", whole.alias("whole"), F.length(whole).alias("width"),
         F.when(trained, F.length(head)).alias("skip"), F.when(trained, F.length(body)).alias("held"))
     rows = rows.withColumn("start", F.sum("width").over(
         Window.partitionBy("tree", "branch").orderBy("position")) - F.col("width"))
