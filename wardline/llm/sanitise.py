@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ TERM_PART, OMIT_PART, SUPPORT = 0.8, 0.95, 3
 WORD = r"\p{L}{3,}"
 #: A table of at most so many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Revealing terms visit the texts in so many broadcast blocks at most; more of them meet the terms of all texts in a shuffle.
+MOST_BLOCKS = 8
 
 
 def found(text: Column, pattern: Column, values: Column) -> Column:
@@ -151,16 +155,23 @@ def disclosing_terms(based: DataFrame, term_part: float, support: int, limit: in
     pairs = cut(pairs.where((F.col("both") >= support) & (part("n_spoken") >= term_part)).drop("n_spoken"))
     if not pairs.limit(1).count():
         return None
-    terms = cut(pairs.select("term").distinct())
-    hits = cut(sized_join(keyed.select("key", F.explode(terms_of(F.col("san_text"))).alias("term")), terms, "term", "left_semi", limit).distinct())
-    counted = hits.groupBy("term").agg(F.count("*").alias("n_term"))
+    # Every term is counted over different texts where these lie, so no (text, term) pair travels: only terms and their counts do.
+    counted = keyed.select("key", "san_text").dropDuplicates(["key"]).select(F.explode(terms_of(F.col("san_text"))).alias("term")).groupBy(
+        "term").agg(F.count("*").alias("n_term"))
     revealing = cut(pairs.join(counted, "term").withColumn("part", part("n_term")).where(F.col("part") >= term_part)
                     .groupBy("term").agg(F.max("part").alias("part")))
-    if not revealing.limit(1).count():
+    size = revealing.count()
+    if not size:
         return None
-    small = revealing.limit(limit + 1).count() <= limit
-    return hits.join(F.broadcast(revealing) if small else revealing, "term").groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct("term", "part"))).alias("terms"))
+    # Now the texts that hold one of these: each block of revealing terms is small enough to visit all texts.
+    blocks = -(-size // limit)
+    spoken = keyed.select("key", F.explode(terms_of(F.col("san_text"))).alias("term"))
+    if blocks <= MOST_BLOCKS:
+        own = F.pmod(F.xxhash64("term"), F.lit(blocks))
+        hits = reduce(DataFrame.unionByName, [spoken.join(F.broadcast(revealing.where(own == i)), "term") for i in range(blocks)])
+    else:
+        hits = spoken.join(revealing, "term")
+    return hits.distinct().groupBy("key").agg(F.array_sort(F.collect_list(F.struct("term", "part"))).alias("terms"))
 
 
 def sanitise(
