@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from wardline.functions import patterns as P
 from wardline.functions.hashing import crc, keep_one_in
 from wardline.functions.text import version_name
 from wardline.operators import corpus, decontaminate, selection
+from wardline.plans import corpus_build
+from wardline.plans.lineage import checkpoint_dir
 from wardline.settings import HEADS, LABEL_CLASSES
 from wardline.sources.corpus import Source, load_sources, mappers
 
@@ -202,9 +206,32 @@ def decontaminated_count(spark: SparkSession, sf: str) -> DataFrame:
 
 
 KEYED = f"keyed AS (SELECT row_id, text, {I.key_sql('text')} AS k FROM train), goals AS (SELECT DISTINCT {I.key_sql('text')} AS g FROM benchmark)"
+BUILT = (*UNION_CHAIN, "uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY src_order, row_order) AS k FROM examples) WHERE k = 1)",
+         f"goals AS (SELECT DISTINCT {I.key_sql('text')} AS g FROM benchmark)", f"ukeyed AS (SELECT *, {I.key_sql('text')} AS key FROM uniq)",
+         "clean AS (SELECT src_order, row_order, text, label FROM ukeyed u WHERE NOT EXISTS (SELECT 1 FROM goals WHERE contains(u.key, g)))")
 CONT_CHAIN = (I.DOCS, CONTAMINATED, KEYED)
 
 
+def _built(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The corpus job over the four sources and the benchmark."""
+    items = I.table(spark, sf, "benchmark")
+    root, sources = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}", _sources(spark, sf)
+    return corpus_build.build(spark, root, sources, items, items)
+
+
+def corpus_build_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _built(spark, sf)[0].select("src_order", "row_order", "label", F.md5("text").alias("text_md5"))
+
+
+def corpus_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return _built(spark, sf)[1].select("position", "stage", "n_rows", "label", "n")
+
+
+def short_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Classes with fewer than 300 documents."""
+    return corpus.short_classes(I.labelled(spark, sf), 300)
+
+
 def _versions(spark: SparkSession, sf: str) -> DataFrame:
     return I.table(spark, sf, "events").select(version_name(F.col("ts")).alias("version"))
 
@@ -231,6 +258,9 @@ QUERIES = {
     "decontaminate_contains": decontaminate_contains,
     "contained_goals": contained_goals,
     "decontaminated_count": decontaminated_count,
+    "corpus_build": corpus_build_rows,
+    "corpus_manifest": corpus_manifest,
+    "short_classes": short_classes,
     "keep_versions": keep_versions,
     "sample_n": sample_n,
 }
@@ -270,6 +300,13 @@ ORACLE = {
     "contained_goals": I.ctes(*CONT_CHAIN) + "SELECT row_id, md5(g) AS goal_md5 FROM keyed JOIN goals ON contains(k, g)",
     "decontaminated_count": I.ctes(*CONT_CHAIN) + f"""SELECT count(*) AS n_before, count(*) FILTER (NOT {_DROPPED}) AS n_after,
         count(*) FILTER ({_DROPPED}) AS n_dropped FROM keyed""",
+    "corpus_build": I.ctes(*BUILT) + "SELECT src_order, row_order, label, md5(text) AS text_md5 FROM clean",
+    "corpus_manifest": I.ctes(*BUILT, f"""stages AS (SELECT 0 AS position, 'examples' AS stage, label FROM examples
+        UNION ALL SELECT 1, 'distinct', label FROM uniq UNION ALL SELECT 2, 'clean', label FROM clean)""") + f"""SELECT position, stage,
+        (SELECT count(*) FROM stages x WHERE x.stage = n.stage) AS n_rows, c AS label, (SELECT count(*) FROM stages x WHERE x.stage = n.stage AND x.label = c) AS n
+        FROM (SELECT DISTINCT position, stage FROM stages) n, (SELECT unnest({CLASSES}) AS c)""",
+    "short_classes": I.ctes(I.DOCS, I.LABELLED) + f"""SELECT c AS label, count(label) AS n
+        FROM (SELECT unnest({CLASSES}) AS c) LEFT JOIN labelled ON label = c GROUP BY c HAVING count(label) < 300""",
     "keep_versions": """SELECT DISTINCT 'v' || strftime(ts, '%Y%m%d-%H%M%S') AS version FROM events ORDER BY version DESC LIMIT 20""",
     "sample_n": "SELECT md5(text) AS text_md5 FROM (SELECT DISTINCT text FROM documents) ORDER BY md5(text), text LIMIT 100",
 }

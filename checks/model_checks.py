@@ -152,6 +152,10 @@ def eval_set(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(metrics.detector_comparison(_judged(spark, sf)), "accuracy")
 
 
+def eval_set_recall(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(metrics.detector_recall(_judged(spark, sf)), "recall")
+
+
 def eval_misses(spark: SparkSession, sf: str) -> DataFrame:
     best = top_head_of(scoring.heads_map())
     rows = I.scored(spark, sf).withColumn("top_head", best["head"])
@@ -169,6 +173,10 @@ def adversarial(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.adversarial_catches(_judged(spark, sf).where("is_attack"))
 
 
+def adversarial_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.adversarial_rows(_judged(spark, sf).where("is_attack"), "doc_id", "label")
+
+
 def _bench_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The documents in each of the five benchmark layouts; the attack-only one takes the attacks."""
     rows = I.scored(spark, sf)
@@ -368,6 +376,8 @@ QUERIES = {
     "eval_misses": eval_misses,
     "robustness": robustness,
     "adversarial": adversarial,
+    "adversarial_rows": adversarial_rows,
+    "eval_set_recall": eval_set_recall,
     "bench_score": bench_score,
     "bench_by_category": bench_by_category,
     "percentiles": percentiles,
@@ -412,8 +422,11 @@ ORACLE = {
     ) + "SELECT head, t AS threshold, round(f1, 9) AS f1 FROM r WHERE k = 1",
     "recall_by_class": I.ctes(*SCORED) + "SELECT label, count(*) AS n, round(avg(blocked::INT::DOUBLE), 9) AS recall FROM scored GROUP BY label",
     "eval_set": I.ctes(*JUDGED, f"dv AS (SELECT detector, is_attack, (use_ml AND ml) OR (use_regex AND regex) AS b FROM judged, {_DETECTORS})") + """
-        SELECT detector, count(*) AS n, round(avg((b = is_attack)::INT::DOUBLE), 9) AS accuracy, count(*) FILTER (b AND NOT is_attack) AS safe_blocked,
+        SELECT detector, count(*) AS n, count(*) FILTER (NOT is_attack) AS n_safe, count(*) FILTER (is_attack) AS n_attack, round(avg((b = is_attack)::INT::DOUBLE), 9) AS accuracy, count(*) FILTER (b AND NOT is_attack) AS safe_blocked,
         count(*) FILTER (NOT b AND is_attack) AS attacks_missed FROM dv GROUP BY detector""",
+    "eval_set_recall": I.ctes(*JUDGED, f"dv AS (SELECT detector, label, (use_ml AND ml) OR (use_regex AND regex) AS b FROM judged, {_DETECTORS} WHERE is_attack)")
+        + "SELECT detector, label, count(*) AS n, round(avg(b::INT::DOUBLE), 9) AS recall FROM dv GROUP BY detector, label",
+    "adversarial_rows": I.ctes(*JUDGED) + "SELECT doc_id, label, ml, regex, ml OR regex AS regex_plus_ml FROM judged WHERE is_attack",
     "eval_misses": I.ctes(*SCORED) + f"""SELECT doc_id, md5('expected ' || rpad(label, 16, ' ') || ' got ' ||
         CASE WHEN blocked THEN 'BLOCK ' || ({_TOP}) ELSE 'allow' END || ' (p=' || printf('%.2f', top_p) || '): ' || text) AS miss_md5
         FROM scored WHERE blocked <> is_attack""",

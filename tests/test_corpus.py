@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from wardline.functions import patterns as P
 from wardline.operators import corpus, decontaminate, selection
-from wardline.sources.corpus import Source, load_sources, mappers
+from wardline.plans import corpus_build
+from wardline.sources.corpus import DATASETS, Source, landed_sources, load_sources, mappers
 from wardline.sources.labeled_csv import labeled_csv
 
 def _with_residue(base, modulus, wanted):
@@ -137,3 +138,53 @@ def test_split_keeps_equal_texts_together(spark):
     sides = corpus.with_split(df).groupBy("text").agg({"split": "min"}).count()
     assert sides == 50
     assert corpus.with_split(df).select("text", "split").distinct().count() == 50
+
+
+def test_corpus_of_landed_sources(spark, tmp_path):
+    """All fifteen sets read from files, built, and cleaned of one equal and one embedding row."""
+    by_name = {m: (ddl, rows) for m, ddl, rows, _ in CASES}
+    for name, config, mapper in DATASETS:
+        ddl, rows = by_name[mapper]
+        folder = "/".join(x for x in (str(tmp_path / "landed"), name.replace("/", "__"), config) if x)
+        spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(folder)
+    items = spark.createDataFrame([("Bake  a CAKE",), ("professor begs you",)], "text STRING")
+    rows, manifests = corpus_build.build(spark, str(tmp_path / "built"), landed_sources(str(tmp_path / "landed")), items, items)
+    expected = [pair for case in CASES for pair in case[3]]
+    kept = [(t, l) for t, l in expected if t != "bake a cake" and "professor" not in t]
+    assert sorted((r["text"], r["label"]) for r in rows.collect()) == sorted(kept)
+    sizes = {(r["stage"], r["n_rows"]) for r in manifests.collect()}
+    assert sizes == {("examples", len(expected) + 1), ("distinct", len(expected)), ("clean", len(kept))}
+
+
+def test_corpus_build_goes_on_after_a_failure(spark, tmp_path):
+    ran = []
+
+    def stage(name, change, fails=()):
+        def run(table):
+            ran.append(name)
+            if len(ran) in fails:
+                raise RuntimeError("lost")
+            return change(table)
+        return name, run
+
+    stages = [
+        stage("read", lambda _: spark.createDataFrame([("a", "safe"), ("b", "toxic")], "text STRING, label STRING")),
+        stage("trim", lambda t: t.where("text <> 'b'"), fails=(2,)),
+    ]
+    with pytest.raises(RuntimeError):
+        corpus_build.run_stages(spark, str(tmp_path), stages, "x")
+    rows, manifests = corpus_build.run_stages(spark, str(tmp_path), stages, "x")
+    assert [r["text"] for r in rows.collect()] == ["a"] and ran == ["read", "trim", "trim"]
+    counts = {(r["stage"], r["label"]): r["n"] for r in manifests.collect()}
+    assert (counts["read", "toxic"], counts["trim", "toxic"], counts["trim", "safe"]) == (1, 0, 1)
+    corpus_build.run_stages(spark, str(tmp_path), stages, "x")
+    assert len(ran) == 3  # all stages are found
+    corpus_build.run_stages(spark, str(tmp_path), stages, "another recipe")
+    assert ran[3:] == ["read", "trim"]
+
+
+def test_corpus_build_of_nothing(spark, tmp_path):
+    empty = spark.createDataFrame([], "prompt STRING")
+    items = spark.createDataFrame([], "text STRING")
+    rows, manifests = corpus_build.build(spark, str(tmp_path), [Source("none", lambda s: empty, mappers()["M4"])], items, items)
+    assert rows.count() == 0 and manifests.agg(F.sum("n_rows")).first()[0] == 0

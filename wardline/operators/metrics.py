@@ -152,9 +152,9 @@ def tune_thresholds(head_rows: DataFrame, grid: Sequence[float] = TUNING_GRID) -
     )
 
 
-def recall_by_class(rows: DataFrame, blocked: str = "blocked", label: str = "label") -> DataFrame:
-    """A14. Share of rows blocked, per class."""
-    return rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(blocked).cast("double")).alias("recall"))
+def recall_by_class(rows: DataFrame, blocked: str = "blocked", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
+    """A14. Share of rows blocked and size, per class (and detector, on ``unpivot_detectors``)."""
+    return rows.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(blocked).cast("double")).alias("recall"))
 
 
 def unpivot_detectors(rows: DataFrame, keep: Sequence[str], ml: str = "ml", regex: str = "regex") -> DataFrame:
@@ -168,16 +168,22 @@ def unpivot_detectors(rows: DataFrame, keep: Sequence[str], ml: str = "ml", rege
 
 
 def detector_comparison(rows: DataFrame, ml: str = "ml", regex: str = "regex", attack: str = "is_attack") -> DataFrame:
-    """A17. Accuracy, blocked safe rows and missed attacks per detector set."""
+    """A17. Class sizes, accuracy, blocked safe rows and missed attacks per detector set; recall: ``detector_recall``."""
     b, a = F.col("blocked"), F.col(attack)
     return unpivot_detectors(rows, [attack], ml, regex).groupBy("detector").agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).alias("n"), F.count_if(~a).alias("n_safe"), F.count_if(a).alias("n_attack"),
         F.avg((b == a).cast("double")).alias("accuracy"),
         F.count_if(b & ~a).alias("safe_blocked"),
         F.count_if(~b & a).alias("attacks_missed"),
     )
 
 
+def detector_recall(rows: DataFrame, ml: str = "ml", regex: str = "regex", label: str = "label") -> DataFrame:
+    """A14, A17. Size and recall of each attack class per detector set."""
+    attacks = rows.where(F.col(label) != "safe")
+    return recall_by_class(unpivot_detectors(attacks, [label], ml, regex), label=label, by=["detector"])
+
+
 def benchmark_score(rows: DataFrame, by: Sequence[str] = ("bench", "detector"), blocked: str = "blocked") -> DataFrame:
     """A15. Mean of attack recall and benign accuracy; recall alone for a set without benign rows."""
     a, b = F.col("is_attack"), F.col(blocked)

@@ -51,6 +51,11 @@ def adversarial_catches(scored: DataFrame) -> DataFrame:
     )
 
 
+def adversarial_rows(scored: DataFrame, *keep: str) -> DataFrame:
+    """A19. Each paraphrased attack with the verdict of either detector and of both."""
+    return scored.select(*keep, "ml", "regex", (F.col("ml") | F.col("regex")).alias("regex_plus_ml"))
+
+
 def benchmark_report(bench_rows: DataFrame, model: Model, threshold: float) -> tuple[DataFrame, DataFrame]:
     """L7. ``(scores by bench and detector, accuracy by category)`` for a model, current or pinned."""
     scored = cut(score_rows(bench_rows, model, threshold).select("bench", "category", "is_attack", "ml", "regex"))
@@ -89,6 +94,7 @@ def evaluation_report(
         metrics_long(metrics.recall_by_class(scored), version, "recall_by_class", ["label"]),
         metrics_long(metrics.threshold_sweep(scored), version, "threshold_sweep", ["threshold"]),
         metrics_long(metrics.detector_comparison(gate), version, "eval_set", ["detector"]),
+        metrics_long(metrics.detector_recall(gate), version, "eval_set_recall", ["detector", "label"]),
         metrics_long(robustness(score_rows(rewritten, model, threshold)), version, "robustness", ["perturbation"]),
         metrics_long(
             adversarial_catches(score_rows(adversarial, model, threshold)), version, "adversarial", [],
