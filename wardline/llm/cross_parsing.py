@@ -334,4 +334,5 @@ def identify(
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], [*keep, "xp_lang", "xp_score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
-    return source.mapInArrow(run, f"{fields}{', ' if fields else ''}xp_lang string, xp_score double")
+    plain = source.toDF(*[f"c{i}" for i in range(len(source.columns))])  # mapInArrow reads a dot in a name as a path
+    return plain.mapInArrow(run, f"{fields}{', ' if fields else ''}xp_lang string, xp_score double")

@@ -18,8 +18,8 @@ from wardline.llm.components import components, star_edges
 from wardline.llm.embed_dedup import block_pairs
 
 WORDS, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.98
-#: Tokens of a text's embedding, runs made together, runs at most, expected number of tokens that a node splits on.
-TOKENS, RUNS, MAX_RUNS, BRANCHES = 128, 8, 32, 1.5
+#: Tokens of a text's embedding, runs made together, expected number of tokens that a node splits on.
+TOKENS, RUNS, BRANCHES = 128, 8, 1.5
 #: A bucket up to LIMIT texts is compared at once; deeper than DEPTH a larger one is compared block by block.
 LIMIT, DEPTH, BLOCK = 200, 4, 512
 #: Candidates: estimated similarity this far below the threshold at most (over 3.5 deviations of 128 tokens at 0.8).
@@ -185,16 +185,30 @@ def run_paths(classes: DataFrame, runs: range, least: float, limit: int = LIMIT,
 
 
 def recall_of(links: DataFrame) -> float:
-    """Estimated share of texts with a partner that all runs together find, from what the two halves find apart.
+    """Estimated share of what can be found that all runs together find, from what the two halves find apart: of texts with a
+    partner, or of lone pairs (both ends know nobody else) if that is less, so large groups do not hide lone pairs.
 
     Each half is a sample of the other: with A and B found and AB in both, a half misses 1 - AB / A, and both miss the product.
+    Where both halves find nothing at all they agree, and the estimate is 1.
     """
-    seen = links.select("half", F.explode(F.array("a", "b")).alias("rid")).distinct().groupBy("rid").agg(F.sum(F.col("half") + 1).alias("by"))
-    n = {r["by"]: r["count"] for r in seen.groupBy("by").count().collect()}
-    both, first, second = n.get(3, 0), n.get(1, 0), n.get(2, 0)
-    if not both:
-        return 0.0 if first + second else 1.0
-    return 1.0 - first / (first + both) * second / (second + both)
+
+    def estimate(seen: DataFrame) -> float:
+        n = {r["by"]: r["count"] for r in seen.groupBy("by").count().collect()}
+        both, first, second = n.get(3, 0), n.get(1, 0), n.get(2, 0)
+        if not both:
+            return 0.0 if first + second else 1.0
+        return 1.0 - first / (first + both) * second / (second + both)
+
+    ends = links.select("half", F.explode(F.array(F.struct(F.col("a").alias("rid"), F.col("b").alias("other")),
+                                                  F.struct(F.col("b").alias("rid"), F.col("a").alias("other")))).alias("e")).select("half", "e.*")
+    texts = cut(ends.groupBy("rid").agg(
+        F.max((F.col("half") == 0).cast("int")).alias("first"), F.max((F.col("half") == 1).cast("int")).alias("second"),
+        F.min("other").alias("low"), F.max("other").alias("high")).select(
+        "rid", (F.col("first") + 2 * F.col("second")).alias("by"), "low", (F.col("low") == F.col("high")).alias("one")))
+    single = texts.where("one")
+    # One row a pair: its smaller end, where the larger end knows only that one too. The pair's halves are those of either end.
+    lone = single.where("rid < low").join(single.where("rid > low").select(F.col("low").alias("rid"), F.col("rid").alias("low")), ["rid", "low"], "left_semi")
+    return min(estimate(texts), estimate(lone))
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -258,7 +272,7 @@ def similar_texts(
     Texts link from a Jaccard similarity of ``threshold`` on; classes are what links connect, named by their smallest id.
     Equal shingle sets are one row from the first shuffle on. Every run splits the sets recursively on sampled tokens that they
     share, until a bucket is small; buckets only nominate pairs, by tokens. Runs repeat until the estimated recall reaches
-    ``target``. What nominated pairs connect is then compared exactly, all pairs, in blocks, on whole texts: links are never
+    ``target`` (below 1). What nominated pairs connect is then compared exactly, all pairs, in blocks, on whole texts: links are never
     counted by chance, and a large group of near copies costs blocks, not rows per pair.
 
     Null, empty and wordless texts, and rows with a null id (class null), link with nothing and stay. Repeated rows are copies
@@ -272,6 +286,8 @@ def _similar(
 ) -> DataFrame:
     """``similar_texts`` with ``tie``, the hash of the row's text."""
     need(docs, [id, text])
+    if not 0 <= target < 1:
+        raise ValueError("the target recall must be below 1")
     spark = docs.sparkSession
     sketched = cut(sketches(docs, id, text, words))
     valid = sketched.where("digest is not null and id is not null")
@@ -282,7 +298,7 @@ def _similar(
         "weight", "tokens"))
     slim = classes.select("rid", "tokens")
     links, done = None, 0
-    while done < MAX_RUNS:
+    while True:  # every run finds each pair with a chance of its own, so the estimate rises to any target below 1
         more = run_paths(slim, range(done, done + RUNS), threshold - SLACK, limit, depth)
         links = more if links is None else cut(links.unionByName(more).distinct())
         done += RUNS
@@ -328,13 +344,16 @@ def deduplicate(
     """``docs`` with one row of each class, the one with the smallest id; of rows that repeat an id and a text, one.
 
     Rows with a null id and different texts under one id all stay, as far as no smaller id has the same text or a near copy.
-    Ids and hashes of texts travel; texts are joined once, and not at all while the removed rows are few enough to broadcast.
+    Columns may have any names. Ids and hashes of texts travel; texts are joined once, and not at all while the removed rows are few enough to broadcast.
     """
     found = cut(_similar(docs, id, text, words, threshold, target, limit, depth))
-    gone = found.where("not kept").select(F.col(id).alias("gone_id"), F.col("tie").alias("gone_tie")).distinct()
-    repeated = cut(found.where("kept").groupBy(id).count().where(F.col("count") > 1).where(F.col(id).isNotNull()).select(id))
-    rest = docs.join(gone, (docs[id] == F.col("gone_id")) & (F.xxhash64(docs[text]) == F.col("gone_tie")), "left_anti")
-    if not repeated.limit(1).count():
-        return rest.select(docs.columns)
-    twice = rest.join(repeated, id, "left_semi").dropDuplicates([id, text])
-    return rest.join(repeated, id, "left_anti").select(docs.columns).unionByName(twice.select(docs.columns))
+    gone = found.where("not kept").select(F.col(id).alias("id"), "tie").distinct()
+    repeated = cut(found.where("kept").groupBy(id).count().where(F.col("count") > 1).where(F.col(id).isNotNull()).select(F.col(id).alias("id")))
+    # The row travels as one struct, so that none of its names meets one of ours.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.withColumns({"id": F.col("row")[id].cast("long"), "tie": F.xxhash64(F.col("row")[text])})
+    rest = rows.join(gone, ["id", "tie"], "left_anti")
+    if repeated.limit(1).count():
+        twice = rest.join(repeated, "id", "left_semi").dropDuplicates(["id", "tie"])
+        rest = rest.join(repeated, "id", "left_anti").unionByName(twice)
+    return rest.select("row.*")

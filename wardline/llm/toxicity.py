@@ -280,4 +280,5 @@ def score(
                     [*part.columns, pa.array(value), pa.array((value >= 0.5).astype(np.int32))], [*keep, "tox_score", "tox_predicted"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
-    return source.mapInArrow(run, f"{fields}{', ' if fields else ''}tox_score double, tox_predicted int")
+    plain = source.toDF(*[f"c{i}" for i in range(len(source.columns))])  # mapInArrow reads a dot in a name as a path
+    return plain.mapInArrow(run, f"{fields}{', ' if fields else ''}tox_score double, tox_predicted int")
