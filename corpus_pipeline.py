@@ -1,4 +1,8 @@
-"""Documents to packed training sequences, in stages that each call one operator of ``wardline.llm``."""
+"""Documents to packed training sequences, in stages that each call one operator of ``wardline.llm``.
+
+Every stage but the last returns the columns of its input, whatever the names of further ones. Rows may repeat, ids and texts may
+be null or empty, and tables may be empty; what a stage does with them is said at the stage.
+"""
 
 from __future__ import annotations
 
@@ -11,33 +15,46 @@ from wardline.llm import jaccard_join, mixing, packing, sanitise, toxicity
 from wardline.llm.common import checkpoint_dir
 
 
+def as_before(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, also those whose names hold dots."""
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled model scores below 0.5."""
+    """Documents that the positive-unlabelled model scores below 0.5.
+
+    Null and empty texts are scored like any other, repeated rows alike; without labels nothing is rejected that the model
+    does not know.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.score(docs, labels).where("tox_predicted = 0").select(docs.columns)
+    return as_before(toxicity.score(docs, labels).where("tox_predicted = 0"), docs)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates, the one with the smallest id; of rows that repeat id and text, one.
+
+    Null, empty and wordless texts and rows without an id are near nothing and stay.
+    """
     return jaccard_join.deduplicate(docs)
 
 
 def sanitise_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without personal data and without terms that give it away; ``n_chars`` follows."""
+    """Texts without personal data and without terms that give it away; ``n_chars`` follows. Null and empty texts stay so."""
     clean = sanitise.sanitise(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("san_clean")))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(
             F.size("san_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return clean.select(docs.columns)
+    return as_before(clean, docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight takes it."""
-    return mixing.emit(mixing.mix(docs)).select(docs.columns)
+    """Each document as often as its source's target weight takes it. The null source is a source of its own; documents
+    without words weigh nothing, and rows that repeat are documents of their own."""
+    return as_before(mixing.emit(mixing.mix(docs)), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences, with their ids."""
+    """Pieces of training sequences, with their ids. Every row is a document; null and empty texts are the end id alone."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
