@@ -196,3 +196,44 @@ def test_many_rows_of_one_order_share_a_block(spark):
     placed = blocks.place(df, ["k"], "at", 3, 20)
     own = placed.where("_own").collect()
     assert len(own) == 400 and len({(r["at"], r["_block"]) for r in own}) == 10
+
+
+def test_idle_conversations_close_once(spark, tmp_path):
+    rng = random.Random(11)
+    base, cfg = dt.datetime(2024, 1, 1), ConversationSettings()
+    rows = []
+    for c in range(6):
+        at = 0
+        for i in range(30):
+            at += rng.choice([1, 60, 3600, 3601, 9000])
+            rows.append((f"c{c}", base + dt.timedelta(seconds=at), i, "hello", "hello", 0.3, "toxic"))
+    df = spark.createDataFrame(rows, "conversation_id STRING, ts TIMESTAMP, turn LONG, raw STRING, masked STRING, risk DOUBLE, head STRING")
+    batch = sessions.sessions(df, ["conversation_id"], "ts", cfg.ttl_seconds)
+    latest = max(r[1] for r in rows)
+    middle = base + dt.timedelta(seconds=60_000)
+    M.use_rocksdb(spark)
+    source, state, out = str(tmp_path / "in"), str(tmp_path / "state"), str(tmp_path / "out")
+
+    def go_on():
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(source)
+        closed = M.closed_conversations(M.monitor_stream(stream, payload_batch_scorer, cfg, lateness="60 seconds"), cfg)
+        query = closed.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+
+    def expected(until):
+        edge = (until.replace(tzinfo=dt.timezone.utc).timestamp() - 60) * 1_000_000
+        return {(r["conversation_id"], r["started"], r["ended"], r["n"]) for r in batch.collect() if r["ended"] + 3_600_000_001 <= edge}
+
+    def got():
+        found = spark.read.parquet(out).select("conversation_id", F.unix_micros("started"), F.unix_micros("ended"), "n_turns").collect()
+        assert len(found) == len(set(found))
+        return {tuple(r) for r in found}
+
+    # The stream stops in the middle and goes on from its checkpoint: closed rows stay, open ones wait.
+    df.where(F.col("ts") <= F.lit(middle)).coalesce(1).write.parquet(f"{source}/part=0")
+    go_on()
+    first = got()
+    assert first == expected(max(r[1] for r in rows if r[1] <= middle)) and first
+    df.where(F.col("ts") > F.lit(middle)).coalesce(1).write.parquet(f"{source}/part=1")
+    go_on()
+    assert got() == expected(latest) and first < got()

@@ -62,19 +62,30 @@ def test_dedup_keeps_first_of_large_row_numbers(spark):
     assert got == {("a", "jailbreak", 1, 2**62), ("b", "safe", 0, 7)}
 
 
-def test_containment_equals_brute_force(spark):
+@pytest.mark.parametrize("travel", [decontaminate.MAX_TRAVEL_CHARS, 0])
+def test_containment_equals_brute_force(spark, travel):
     rng = random.Random(3)
     vocab = ["a", "bc", "the", "model", "xx", "yy", "zz"]
     texts = [" ".join(rng.choices(vocab, k=rng.randint(1, 14))) for _ in range(150)] + ["", "  ", "prefixthe model suffix"]
     goals = [" ".join(rng.choices(vocab, k=rng.randint(1, 9))) for _ in range(40)] + ["he Model  suf", "", "c", "model xx yy z"]
-    train = spark.createDataFrame(list(enumerate(texts)), "id INT, text STRING")
+    train = spark.createDataFrame([*enumerate(texts), (-1, None)], "id INT, text STRING")
     goal_df = spark.createDataFrame([(g,) for g in goals], "text STRING")
     norm = lambda t: " ".join(t.lower().split())
     expected = {(i, norm(g)) for i, t in enumerate(texts) for g in goals if norm(g) and norm(g) in norm(t)}
-    got = {(r["id"], r["goal"]) for r in decontaminate.containing(train, goal_df, "id").collect()}
+    got = {(r["id"], r["goal"]) for r in decontaminate.containing(train, goal_df, "id", max_travel=travel).collect()}
     assert got == expected
     kept = {r["id"] for r in decontaminate.drop_containing(train, goal_df, "id").collect()}
-    assert kept == set(range(len(texts))) - {i for i, _ in expected}
+    assert kept == {-1, *range(len(texts))} - {i for i, _ in expected}
+
+
+def test_anchors_travel_and_no_text_is_shuffled(spark):
+    train = spark.createDataFrame([(1, "say one two three four five six now")], "id INT, text STRING")
+    goals = spark.createDataFrame([("one two three four five six",)], "text STRING")
+    found = decontaminate.containing(train, goals, "id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert [x for x in plan.splitlines() if "Join " in x][0].strip(" +-:").startswith("BroadcastHashJoin")
+    assert "Exchange hashpartitioning(_id" not in plan
+    assert [tuple(r) for r in found.collect()] == [(1, "one two three four five six")]
 
 
 def test_no_goals_drop_nothing(spark):

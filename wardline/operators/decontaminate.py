@@ -1,8 +1,10 @@
 """Benchmark decontamination: equal texts (J1) and texts that contain a goal (J2), as anti-joins.
 
 Nothing here compares every row with every goal. Containment goes through anchors: a fragment each
-goal must share with any text that contains it. Texts emit ``(id, hash)`` pairs, the hashes meet the
-goals' anchors in an equi-join, and only the meeting pairs are verified with ``contains``.
+goal must share with any text that contains it. The goals' anchors are measured; as long as they fit an
+executor they travel to the texts, whose hashed fragments are looked up and verified in the row, so that
+no text is shuffled. Beyond that size texts emit ``(id, hash)`` pairs that meet the anchors in an
+equi-join, and only the meeting pairs are verified with ``contains``.
 """
 
 from __future__ import annotations
@@ -11,10 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.text import norm_key
+from wardline.plans.lineage import cut
 
 MAX_ANCHOR_WORDS = 5
 MAX_ANCHOR_CHARS = 8
 PROBE_ONE_IN = 10
+#: Largest goals, in characters and with 64 more a goal, that travel to the texts.
+MAX_TRAVEL_CHARS = 32_000_000
+#: Most ids of texts with a goal that travel to the rows they drop.
+MAX_TRAVEL_IDS = 1_000_000
 
 
 def distinct_keys(banned: DataFrame, text: str = "text") -> DataFrame:
@@ -98,46 +105,58 @@ def _hashes(texts: DataFrame, shapes: list[tuple[str, int]]) -> DataFrame:
     return texts.select("_id", F.explode(_fragments(F.col("_norm"), shapes)).alias("anchor"))
 
 
-def containing(train: DataFrame, goals: DataFrame, id_: str, text: str = "text", goal_text: str = "text") -> DataFrame:
-    """``id, goal`` pairs where the normalized text contains the normalized goal (exact).
-
-    ``id_`` must identify a row. The goal shapes in use (at most 13) are read first. Each goal is then
-    anchored on its rarest fragment, so boilerplate shared by many texts makes no candidates as long as
-    the goal holds anything rarer.
-    """
-    keys = goal_keys(goals, goal_text)
-    shapes = sorted((r["kind"], r["size"]) for r in keys.select("kind", "size").distinct().collect())
-    texts = train.select(F.col(id_).alias("_id"), norm_key(F.col(text)).alias("_norm"))
-    if not shapes:
-        return texts.select(F.col("_id").alias(id_), F.lit(None).cast("string").alias("goal")).where(F.lit(False))
+def _anchors(texts: DataFrame, keys: DataFrame, shapes: list[tuple[str, int]]) -> DataFrame:
+    """``goal, anchor``: each goal with the fragment of it that is rarest in a tenth of the texts."""
     choices = _anchor_choices(keys, shapes)
-    probe = texts.where(F.pmod(F.xxhash64("_norm"), F.lit(PROBE_ONE_IN)) == 0)
+    # The tenth is chosen by id, so that only its texts are normalized.
+    probe = texts.where(F.pmod(F.xxhash64("_id"), F.lit(PROBE_ONE_IN)) == 0)
     frequency = (
         _hashes(probe, shapes)
         .join(choices.select("anchor").distinct(), "anchor")
         .groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("_df"))
     )
-    anchors = (
+    return (
         choices.join(frequency, "anchor", "left")
         .groupBy("goal")
         .agg(F.min(F.struct(F.coalesce(F.col("_df"), F.lit(0)).alias("df"), F.col("anchor"))).alias("_best"))
         .select("goal", F.col("_best.anchor").alias("anchor"))
     )
-    candidates = _hashes(texts, shapes).join(anchors, "anchor").select("_id", "goal")
-    return (
-        texts.join(candidates, "_id")
-        .where(F.contains("_norm", F.col("goal")))
-        .select(F.col("_id").alias(id_), "goal")
-    )
+
+
+def containing(
+    train: DataFrame, goals: DataFrame, id_: str, text: str = "text", goal_text: str = "text", max_travel: int = MAX_TRAVEL_CHARS
+) -> DataFrame:
+    """``id, goal`` pairs where the normalized text contains the normalized goal (exact).
+
+    ``id_`` must identify a row. The goal shapes in use (at most 13) and the goals' size are read first.
+    Each goal is anchored on its rarest fragment, so boilerplate shared by many texts makes no candidates
+    as long as the goal holds anything rarer. Goals of more than ``max_travel`` characters are joined.
+    """
+    keys = goal_keys(goals, goal_text)
+    measured = keys.groupBy("kind", "size").agg(F.sum(F.char_length("goal") + 64).alias("chars")).collect()
+    shapes = sorted((r["kind"], r["size"]) for r in measured)
+    # Never null, and exploded as outer rows: else Spark infers filters that normalize every text once more below.
+    texts = train.select(F.col(id_).alias("_id"), F.coalesce(norm_key(F.col(text)), F.lit("")).alias("_norm"))
+    if not shapes:
+        return texts.select(F.col("_id").alias(id_), F.lit(None).cast("string").alias("goal")).where(F.lit(False))
+    anchors = _anchors(texts, keys, shapes)
+    if sum(r["chars"] for r in measured) <= max_travel:
+        # Fragments are hashed below the explode, which then is generated code and copies no text a fragment.
+        hashed = texts.withColumn("_hashes", _fragments(F.col("_norm"), shapes))
+        met = hashed.select("_id", "_norm", F.explode_outer("_hashes").alias("anchor")).join(F.broadcast(anchors), "anchor")
+    else:
+        met = texts.join(_hashes(texts, shapes).join(anchors, "anchor").select("_id", "goal"), "_id")
+    return met.where(F.contains("_norm", F.col("goal"))).select(F.col("_id").alias(id_), "goal")
 
 
 def drop_containing(
     train: DataFrame, goals: DataFrame, id_: str, text: str = "text", goal_text: str = "text"
 ) -> DataFrame:
-    """J2. Rows that contain no goal."""
-    hit = containing(train, goals, id_, text, goal_text).select(id_)
-    return train.join(hit, id_, "left_anti")
+    """J2. Rows that contain no goal. The ids of the others are found first: up to ``MAX_TRAVEL_IDS`` travel to the rows,
+    more are joined."""
+    hit = cut(containing(train, goals, id_, text, goal_text).select(id_).distinct())
+    return train.join(F.broadcast(hit) if hit.count() <= MAX_TRAVEL_IDS else hit, id_, "left_anti")
 
 
 def decontaminate(

@@ -19,6 +19,9 @@ from wardline.operators.requests import accepted
 from wardline.operators.scoring import BatchScorer
 from wardline.settings import HEADS, ConversationSettings
 
+#: The columns of closing rows.
+CLOSED = ("conversation_id", "started", "ended", "n_turns", "worst_risk", "ledger", "flagged", "first_flagged_turn")
+
 OUTPUT_SCHEMA = (
     "conversation_id STRING, ts TIMESTAMP, user_turn BIGINT, action STRING, flagged BOOLEAN, risk DOUBLE, ledger DOUBLE, "
     "score DOUBLE, threshold DOUBLE, window_score DOUBLE, first_flagged_turn BIGINT, reason STRING, "
@@ -149,6 +152,7 @@ def monitor_stream(
     load_scorer: Callable[[], BatchScorer] | None,
     settings: ConversationSettings = ConversationSettings(),
     state_ttl_seconds: int | None = None,
+    lateness: str | None = None,
 ) -> DataFrame:
     """X1, X2. Monitor rows for a stream of ``conversation_turns``.
 
@@ -156,13 +160,36 @@ def monitor_stream(
     (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``). Idle expiry compares event times and is refreshed by recorded turns only. ``state_ttl_seconds`` (wall
     clock) merely frees the state of conversations that never come back: set it, well above the longest
     stall, on a job that runs forever. Leave it out under an ``availableNow`` trigger, where clocked
-    state would schedule empty batches without end. Needs the RocksDB state store.
+    state would schedule empty batches without end. Needs the RocksDB state store. With ``lateness`` the rows carry a watermark that
+    much behind the latest turn, older turns are dropped, and ``closed_conversations`` may follow.
     """
     if state_ttl_seconds is not None and state_ttl_seconds < settings.ttl_seconds:
         raise ValueError("state_ttl_seconds must not be below the conversation TTL")
-    return turns.groupBy("conversation_id").transformWithStateInPandas(
+    if lateness and state_ttl_seconds:
+        raise ValueError("clocked state and a watermark exclude each other")
+    timed = turns.withWatermark("ts", lateness) if lateness else turns
+    return timed.groupBy("conversation_id").transformWithStateInPandas(
         statefulProcessor=ConversationProcessor(load_scorer, settings, state_ttl_seconds),
         outputStructType=OUTPUT_SCHEMA,
         outputMode="Append",
-        timeMode="ProcessingTime" if state_ttl_seconds else "None",
+        timeMode="EventTime" if lateness else "ProcessingTime" if state_ttl_seconds else "None",
+        eventTimeColumnName="ts" if lateness else "",
+    )
+
+
+def closed_conversations(monitored: DataFrame, settings: ConversationSettings = ConversationSettings()) -> DataFrame:
+    """X2. One closing row (``CLOSED``) per conversation that has been idle longer than the TTL.
+
+    ``monitored`` is a ``monitor_stream`` with ``lateness``, or its rows as a batch. A conversation's turns are merged while no
+    gap is longer than the TTL, in whatever order they come; its row is written once, when the watermark has passed
+    its last turn by the TTL. What is not idle yet stays in the state.
+    """
+    # A turn exactly one TTL later still belongs to the conversation, and windows exclude their end.
+    idle = F.session_window("ts", f"{settings.ttl_seconds} seconds 1 microsecond").alias("_open")
+    latest = F.struct("ts", "user_turn")
+    closing = monitored.groupBy("conversation_id", idle).agg(
+        F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("n_turns"),
+        F.max("risk").alias("worst_risk"), F.max_by("ledger", latest).alias("ledger"),
+        F.bool_or("flagged").alias("flagged"), F.min("first_flagged_turn").alias("first_flagged_turn"),
     )
+    return closing.select(*CLOSED)
