@@ -207,3 +207,22 @@ def test_a_head_without_both_kinds_is_named(spark):
     rows = spark.createDataFrame([("safe", Vectors.dense([1.0])), ("toxic", Vectors.dense([2.0]))], ["label", "features"])
     with pytest.raises(ValueError, match="prompt_injection"):
         training.fit_heads(rows)
+
+
+def test_tuned_version_decides_at_one_half(spark, tmp_path):
+    """Biases in the stored intercepts move every tuned threshold to 0.5; heads without validation rows stay as they are."""
+    from wardline.plans import tuning
+
+    rows = [("toxic", 0.1, 0.1, p) for p in (0.3, 0.31, 0.32)] + [("safe", 0.2, 0.1, p) for p in (0.05, 0.1, 0.29)] + [("safe", 0.2, 0.1, 0.9)]
+    scored = spark.createDataFrame(rows, "label STRING, prompt_injection DOUBLE, jailbreak DOUBLE, toxic DOUBLE")
+    tuned = tuning.tune(scored)
+    found = {r["head"]: (r["threshold"], round(r["f1"], 9)) for r in tuned.collect()}
+    assert found["toxic"] == (0.3, round(6 / 7, 9))
+    got = {r["head"]: (r["n"], r["n_pos"], round(r["f1"], 9)) for r in tuning.measure(scored, tuned).collect()}
+    assert got["toxic"] == (7, 3, round(6 / 7, 9)) and got["jailbreak"] == (4, 0, 0.0)
+    terms = spark.createDataFrame([("word", "a", 1.0, 0.0, 0.0, 0.0)], "kind STRING, term STRING, idf DOUBLE, prompt_injection DOUBLE, jailbreak DOUBLE, toxic DOUBLE")
+    only = tuned.where("head = 'toxic'")
+    tuning.write_tuned(terms, str(tmp_path), "v1", {"prompt_injection": 0.2, "jailbreak": 0.1, "toxic": math.log(0.3 / 0.7)}, only)
+    model = registry.load_model(spark, str(tmp_path), "v1")
+    assert model.intercepts["toxic"] == pytest.approx(0.0) and model.intercepts["jailbreak"] == 0.1
+    assert model.metadata["thresholds"] == {"prompt_injection": 0.5, "jailbreak": 0.5, "toxic": 0.3}
