@@ -113,6 +113,18 @@ def test_labeled_csv(spark, tmp_path):
         labeled_csv(spark, str(tmp_path))
 
 
+@pytest.mark.parametrize("travel", [100_000, 0])
+def test_many_csv_files_keep_name_and_row_order(spark, tmp_path, monkeypatch, travel):
+    from wardline.sources import labeled_csv as module
+
+    monkeypatch.setattr(module, "MAX_TRAVEL_FILES", travel)
+    for i in range(60):
+        (tmp_path / f"f {i:03}%.csv").write_text("text,label\n" + "".join(f"t{i}-{k},safe\n" for k in range(i % 4)))
+    found = labeled_csv(spark, str(tmp_path)).orderBy("src_order", "row_order").collect()
+    assert [r["text"] for r in found] == [f"t{i}-{k}" for i in range(60) for k in range(i % 4)]
+    assert {r["src_order"] for r in found} == {i + 1 for i in range(60) if i % 4}
+
+
 def test_versions_and_recent_keys(spark):
     versions = spark.createDataFrame([(f"v{i}",) for i in (1, 2, 3, 4)], "version STRING")
     assert [r[0] for r in selection.newest_versions(versions, 2).collect()] == ["v4", "v3"]

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardline.settings import LABEL_CLASSES
 
 
+#: Longest list of files that travels to the rows; a longer one is joined.
+MAX_TRAVEL_FILES = 100_000
+
+
+def _file_order(spark: SparkSession, path: str) -> DataFrame:
+    """``_file, src_order``: every file in name order, from 1. Files are listed, none is opened."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    return listed.select(F.col("_metadata.file_path").alias("_file")).withColumn(
+        "src_order", F.row_number().over(Window.orderBy("_file"))
+    )
+
+
 def labeled_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``src_order, row_order, text, label`` of every ``*.csv`` under ``path``, files in name order.
+    """``src_order, row_order, text, label`` of every ``*.csv`` under ``path``, files in name order (files without rows
+    count), rows of a file in its order.
 
     Raises when there is no file, a column is missing, headers disagree, or a label is unknown (the first
     such row ends the check).
@@ -28,13 +41,7 @@ def labeled_csv(spark: SparkSession, path: str) -> DataFrame:
     unknown = rows.where(~F.col("label").isin(*LABEL_CLASSES) | F.col("label").isNull()).limit(1).collect()
     if unknown:
         raise ValueError(f"{path}: unknown label '{unknown[0]['label']}', expected one of {list(LABEL_CLASSES)}")
-    # Files are few next to their rows; their names in order give the source order.
-    names = rows.select("_file").distinct().groupBy().agg(F.sort_array(F.collect_set("_file")).alias("_files"))
-    return (
-        rows.where(F.col("text").isNotNull())
-        .join(F.broadcast(names), F.lit(True))
-        .select(
-            F.array_position("_files", F.col("_file")).cast("int").alias("src_order"),
-            "row_order", "text", "label",
-        )
-    )
+    names = _file_order(spark, path)
+    # A text never moves for its file's place as long as the list of files is short.
+    known = F.broadcast(names) if names.count() <= MAX_TRAVEL_FILES else names
+    return rows.where(F.col("text").isNotNull()).join(known, "_file").select("src_order", "row_order", "text", "label")
