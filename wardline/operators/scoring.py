@@ -6,7 +6,7 @@ by the vocabulary caps, which ``checked_model`` verifies before the table is bro
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.functions.text import logistic, segments
-from wardline.operators.features import ANCHOR_KIND, CHAR_TERMS, WORD_TERMS, term_counts
+from wardline.operators.features import ANCHOR_KIND, CHAR_TERMS, WORD_TERMS, apart, term_counts
+from wardline.operators.linear_scorer import load_linear, with_linear_scores
 from wardline.settings import HEADS
 
 MAX_MODEL_TERMS = 4 * (WORD_TERMS + CHAR_TERMS)
@@ -53,7 +54,29 @@ def linear_scores(
     per_sentence: bool = True,
     engine: str = "jvm",
 ) -> DataFrame:
-    """A4, J4, L6. ``id, <head>..``: per-head maximum over the whole text and, if asked, its sentences.
+    """A4, J4, L6. ``id, <head>..``: per-head maximum over the whole text and, if asked, its sentences; no row for a null text.
+
+    A model within the cap travels to the texts; texts that share their id, and all texts under a larger model, are joined.
+    """
+    if model.limit(MAX_MODEL_TERMS + 1).count() > MAX_MODEL_TERMS:
+        return joined_scores(df, id_, model, intercepts, text, per_sentence, engine)
+    alone, again = apart(df.select(id_, text), id_)
+    here = with_linear_scores(
+        alone.where(F.col(text).isNotNull()), load_linear(model, intercepts), text, per_sentence, engine
+    ).select(id_, *intercepts)
+    return here if again is None else here.unionAll(joined_scores(again, id_, model, intercepts, text, per_sentence, engine))
+
+
+def joined_scores(
+    df: DataFrame,
+    id_: str,
+    model: DataFrame,
+    intercepts: Mapping[str, float],
+    text: str = "text",
+    per_sentence: bool = True,
+    engine: str = "jvm",
+) -> DataFrame:
+    """``linear_scores`` for models of any size and ids that repeat: the texts of one id count together.
 
     One exchange: texts are placed by ``id_`` and term counts, block norms, dot products and the final
     maximum all happen where the text lies.
