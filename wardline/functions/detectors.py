@@ -47,12 +47,13 @@ DETECTORS = {
 def may_match(norm: Column, name: str) -> Column:
     """Cheap necessary condition: substring searches instead of a pattern walk."""
     tests = [norm.contains(needle) for needle in (*P.NEEDS[name], P.DOTLESS_I)]
+    tests += [norm.contains(word) & norm.rlike(f"{word}(?<!{_WORD}{word})(?!{_WORD})") for word in P.NEEDS_WORD[name]]
     return reduce(lambda a, b: a | b, tests)
 
 
 def first_match(norm: Column, name: str) -> Column:
     """Text of the first hit of detector ``name`` in normalized text, or the empty string."""
-    found = F.when(may_match(norm, name), F.regexp_extract(norm, compiled(DETECTORS[name]), 1))
+    found = F.when(may_match(norm, name), F.regexp_extract(norm, compiled(f"(?=[{P.STARTS[name]}])" + DETECTORS[name]), 1))
     return F.when(norm.isNotNull(), F.coalesce(found, F.lit("")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.perturb import PERTURBATIONS
 from wardline.operators import corpus, metrics
-from wardline.operators.guard import PATTERN_CHECKS, detect
+from wardline.operators.guard import PATTERN_CHECKS, any_match, detect
 from wardline.operators.linear_scorer import load_linear, with_linear_scores
 from wardline.plans.lineage import cut
 from wardline.plans.registry import Model
@@ -19,7 +19,7 @@ def score_rows(rows: DataFrame, model: Model, threshold: float, text: str = "tex
     """L6. Rows plus ``<head>.., top_p, ml, regex``, in place: no shuffle."""
     scored = with_linear_scores(rows, load_linear(model.terms, model.intercepts), text)
     matched = detect(scored, text).drop("_norm")
-    regex = F.greatest(*[F.col(f"{c}_match") != "" for c in PATTERN_CHECKS])
+    regex = any_match()
     return matched.withColumns({
         "regex": regex, "top_p": F.greatest(*[F.col(h) for h in HEADS]), "ml": metrics.any_head(threshold),
     }).drop(*[f"{c}_match" for c in PATTERN_CHECKS])
