@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import need
-from wardline.llm.tokens import WordIds, word_ids
+from wardline.llm.tokens import WordIds, load, word_ids
 
 CAPACITY, MAX_SEGMENTS, MAX_LOSS = 4096, 1024, 4096
 #: Examples are packed in groups of about so many ids; a group is all that a task holds.
@@ -170,6 +170,13 @@ def _pack_lengths(
     return sequences
 
 
+def sign_ids(tokenizer: str, end_id: int = END_ID) -> list[int]:
+    """Ids of signs and spaces alone: their text holds no letter and no digit. ``end_id`` is none."""
+    made = load(tokenizer)
+    texts = [(i, token.removesuffix("</w>")) for token, i in made.get_vocab().items()]
+    return sorted(i for i, t in texts if i != end_id and t and not any(c.isalnum() for c in t))
+
+
 def groups(batches: Iterator[pa.RecordBatch], words: WordIds, end_id: int) -> Iterator[list[tuple[object, np.ndarray]]]:
     """Tokenized rows, gathered up to the size of a group."""
     held, size = [], 0
@@ -196,7 +203,7 @@ def groups(batches: Iterator[pa.RecordBatch], words: WordIds, end_id: int) -> It
 
 def pack_documents(
     docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-    max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, end_id: int = END_ID, with_ids: bool = False,
+    max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, end_id: int = END_ID, with_ids: bool = False, quiet: Sequence[int] = (),
 ) -> DataFrame:
     """Pieces of all documents in sequences: columns ``PIECES``, and ``ids array<int>`` if asked for.
 
@@ -205,19 +212,34 @@ def pack_documents(
     leaves its task except in a piece, and a task holds one group of about ``GROUP_IDS`` ids (or one longer document). Each
     group ends in a few sequences whose lengths are powers of two, so nothing needs padding. A sequence is numbered by
     partition and place; a task that runs again gives the same rows.
+
+    ``quiet``: ids that bear no loss. An example's demand then is a vector of its own, ids and loss apart, and the dot product
+    chooses; without them loss follows from length, and its choice is the longest that fits.
     """
     need(docs, [id, text])
+    silent = np.unique(np.asarray(quiet, np.int64))
+
+    def bearing(ids: np.ndarray) -> np.ndarray:
+        """Whether each id of a segment bears loss: not the first, which nothing predicts, and no quiet one."""
+        out = np.ones(len(ids), bool) if not len(silent) else ~muted[np.minimum(ids, len(muted) - 1)]
+        out[:1] = False
+        return out
+
+    muted = np.zeros(int(silent[-1]) + 2 if len(silent) else 1, bool)
+    muted[silent] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sequence = word_ids(tokenizer), TaskContext.get().partitionId() << 36
         for group in groups(batches, words, end_id):
             rows, parts = [], []
-            for bin_ in pack(np.array([len(x) for _, x in group]), None, capacity, max_segments, max_loss):
+            for bin_ in pack(
+                    np.array([len(x) for _, x in group]), np.array([bearing(x).sum() for _, x in group]) if len(silent) else None,
+                    capacity, max_segments, max_loss):
                 at = 0
                 for k, (i, start, n) in enumerate(bin_):
                     doc, ids = group[i]
                     piece = ids[start:start + n]
-                    rows.append((doc, start, n, zlib.crc32(piece.tobytes()), len(ids), sequence, at, int(loss_of(n)), k))
+                    rows.append((doc, start, n, zlib.crc32(piece.tobytes()), len(ids), sequence, at, int(bearing(piece).sum()), k))
                     if with_ids:
                         parts.append(piece)
                     at += n

@@ -72,9 +72,10 @@ FROM c LEFT JOIN k ON c.vec_id = k.a"""
 def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
-    from wardline.llm.packing import pack_documents
+    from wardline.llm.packing import pack_documents, sign_ids
 
-    return pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return pack_documents(table(spark, sf, "documents"), tokenizer, quiet=sign_ids(tokenizer))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
