@@ -211,3 +211,22 @@ def test_corpus_build_of_nothing(spark, tmp_path):
     items = spark.createDataFrame([], "text STRING")
     rows, manifests = corpus_build.build(spark, str(tmp_path), [Source("none", lambda s: empty, mappers()["M4"])], items, items)
     assert rows.count() == 0 and manifests.agg(F.sum("n_rows")).first()[0] == 0
+
+
+def test_goals_are_found_at_any_place_and_texts_normalized_once(spark, monkeypatch):
+    rng = random.Random(4)
+    some = lambda n: " ".join(rng.choice(["a", "b", "ab", "ba"]) for _ in range(n))
+    texts = [(i, some(rng.randint(0, 12))) for i in range(300)] + [(300, "x " + "b a " * 400), (301, None)]
+    texts += texts[290:] + [(5, texts[6][1])]  # rows and ids that repeat
+    goals = [(some(n),) for n in range(1, 8) for _ in range(6)] + [("b a b a b a b a b a b c",)]
+    rows = spark.createDataFrame(texts, "id LONG, text STRING")
+    for chosen in (goals, [g for g in goals if len(g[0].split()) > 2]):  # with and without goals that are looked up by characters
+        wanted = spark.createDataFrame(chosen, "text STRING")
+        found = sorted(tuple(r) for r in decontaminate.containing(rows, wanted, "id").collect())
+        assert found == sorted((i, g) for i, t in texts for g in {g for (g,) in chosen} if t and g in " ".join(t.split()))
+    calls, real = [], decontaminate.norm_key
+    monkeypatch.setattr(decontaminate, "norm_key", lambda c: calls.append(c) or real(c))
+    kept = {r["id"] for r in decontaminate.decontaminate(rows, wanted, wanted, "id").collect()}
+    hit = {i for i, t in texts if any(t and g in " ".join(t.split()) for (g,) in chosen)}
+    assert kept == {i for i, _ in texts} - hit
+    assert len(calls) == 3  # texts, benchmark texts, goals

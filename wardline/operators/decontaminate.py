@@ -2,13 +2,15 @@
 
 Nothing here compares every row with every goal. Containment goes through anchors: a fragment each
 goal must share with any text that contains it. The goals' anchors are measured; as long as they fit an
-executor they travel to the texts, whose hashed fragments are looked up and verified in the row, so that
-no text is shuffled. Beyond that size texts emit ``(id, hash)`` pairs that meet the anchors in an
+executor they travel to the texts, whose hashed fragments are looked up and verified in the row, at their
+place, so that no text is shuffled. Beyond that size texts emit ``(id, hash)`` pairs that meet the anchors in an
 equi-join, and only the meeting pairs are verified with ``contains``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,13 @@ def distinct_keys(banned: DataFrame, text: str = "text") -> DataFrame:
 
 def drop_equal(train: DataFrame, banned: DataFrame, text: str = "text", banned_text: str = "text") -> DataFrame:
     """J1. Rows whose normalized text is no banned text."""
+    return _unequal(train, banned, text, banned_text).drop("_key")
+
+
+def _unequal(train: DataFrame, banned: DataFrame, text: str = "text", banned_text: str = "text") -> DataFrame:
+    """``drop_equal`` with the normalized text as ``_key``."""
     keyed = train.withColumn("_key", norm_key(F.col(text)))
-    return keyed.join(distinct_keys(banned, banned_text), "_key", "left_anti").drop("_key")
+    return keyed.join(distinct_keys(banned, banned_text), "_key", "left_anti")
 
 
 def goal_keys(goals: DataFrame, text: str = "text") -> DataFrame:
@@ -85,7 +92,8 @@ def _fragments(text: Column, shapes: list[tuple[str, int]]) -> Column:
 
 
 def _anchor_choices(keys: DataFrame, shapes: list[tuple[str, int]]) -> DataFrame:
-    """Every fragment that could anchor each goal, as ``goal, anchor``."""
+    """Every fragment that could anchor each goal, as ``goal, anchor, place``: words of the goal before it, of equal ones the
+    first, and 0 for characters."""
     options = []
     for kind, size in shapes:
         of_shape = keys.where((F.col("kind") == kind) & (F.col("size") == size))
@@ -94,7 +102,8 @@ def _anchor_choices(keys: DataFrame, shapes: list[tuple[str, int]]) -> DataFrame
             interior = _word_hashes(words, size, 2, F.size(words) - size)
         else:
             interior = _char_hashes(F.col("goal"), size, F.lit(1))
-        options.append(of_shape.select("goal", F.explode(F.array_distinct(interior)).alias("anchor")))
+        options.append(of_shape.select("goal", F.posexplode(interior).alias("at", "anchor")).groupBy("goal", "anchor").agg(
+            (F.min("at") + (1 if kind == "word" else 0)).alias("place")))
     stacked = options[0]
     for more in options[1:]:
         stacked = stacked.unionByName(more)
@@ -105,13 +114,26 @@ def _hashes(texts: DataFrame, shapes: list[tuple[str, int]]) -> DataFrame:
     return texts.select("_id", F.explode(_fragments(F.col("_norm"), shapes)).alias("anchor"))
 
 
+def _placed(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """Hashed runs of words, as ``_id, _words, _at, anchor``, one row for each of ``sizes`` and each place ``_at`` that has a word
+    before and one after the run: interior words of a goal have both. All of it is generated code over one list of words."""
+    words = texts.select("_id", F.split("_norm", " ").alias("_words"))
+    last = F.size("_words") - (min(sizes) + 1)
+    # No lambda: an operator that holds one is not compiled.
+    at = words.select("_id", "_words", F.explode_outer(F.when(last >= 1, F.sequence(F.lit(1), last))).alias("_at"))
+    runs = [F.xxhash64(F.lit("word"), F.lit(n), *[F.get("_words", F.col("_at") + k) for k in range(n)]) for n in sizes]
+    return at.select("_id", "_words", "_at", runs[0].alias("anchor") if len(runs) == 1 else F.explode(F.array(*runs)).alias("anchor"))
+
+
 def _anchors(texts: DataFrame, keys: DataFrame, shapes: list[tuple[str, int]]) -> DataFrame:
-    """``goal, anchor``: each goal with the fragment of it that is rarest in a tenth of the texts."""
+    """``goal, anchor, place``: each goal with the fragment of it that is rarest in a tenth of the texts."""
     choices = _anchor_choices(keys, shapes)
     # The tenth is chosen by id, so that only its texts are normalized.
     probe = texts.where(F.pmod(F.xxhash64("_id"), F.lit(PROBE_ONE_IN)) == 0)
+    words, chars = [n for kind, n in shapes if kind == "word"], [x for x in shapes if x[0] == "char"]
+    seen = ([_placed(probe, words).select("_id", "anchor")] if words else []) + ([_hashes(probe, chars)] if chars else [])
     frequency = (
-        _hashes(probe, shapes)
+        reduce(DataFrame.unionByName, seen)
         .join(choices.select("anchor").distinct(), "anchor")
         .groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("_df"))
@@ -119,8 +141,8 @@ def _anchors(texts: DataFrame, keys: DataFrame, shapes: list[tuple[str, int]]) -
     return (
         choices.join(frequency, "anchor", "left")
         .groupBy("goal")
-        .agg(F.min(F.struct(F.coalesce(F.col("_df"), F.lit(0)).alias("df"), F.col("anchor"))).alias("_best"))
-        .select("goal", F.col("_best.anchor").alias("anchor"))
+        .agg(F.min(F.struct(F.coalesce(F.col("_df"), F.lit(0)).alias("df"), F.col("anchor"), F.col("place"))).alias("_best"))
+        .select("goal", F.col("_best.anchor").alias("anchor"), F.col("_best.place").alias("place"))
     )
 
 
@@ -133,21 +155,40 @@ def containing(
     Each goal is anchored on its rarest fragment, so boilerplate shared by many texts makes no candidates
     as long as the goal holds anything rarer. Goals of more than ``max_travel`` characters are joined.
     """
+    # Never null, and exploded as outer rows: else Spark infers filters that normalize every text once more below.
+    texts = train.select(F.col(id_).alias("_id"), F.coalesce(norm_key(F.col(text)), F.lit("")).alias("_norm"))
+    return _containing(texts, goals, goal_text, max_travel).withColumnRenamed("_id", id_)
+
+
+def _containing(texts: DataFrame, goals: DataFrame, goal_text: str, max_travel: int = MAX_TRAVEL_CHARS) -> DataFrame:
+    """``containing`` for texts that are normalized already: ``_id, _norm`` to ``_id, goal``."""
     keys = goal_keys(goals, goal_text)
     measured = keys.groupBy("kind", "size").agg(F.sum(F.char_length("goal") + 64).alias("chars")).collect()
     shapes = sorted((r["kind"], r["size"]) for r in measured)
-    # Never null, and exploded as outer rows: else Spark infers filters that normalize every text once more below.
-    texts = train.select(F.col(id_).alias("_id"), F.coalesce(norm_key(F.col(text)), F.lit("")).alias("_norm"))
     if not shapes:
-        return texts.select(F.col("_id").alias(id_), F.lit(None).cast("string").alias("goal")).where(F.lit(False))
+        return texts.select("_id", F.lit(None).cast("string").alias("goal")).where(F.lit(False))
     anchors = _anchors(texts, keys, shapes)
-    if sum(r["chars"] for r in measured) <= max_travel:
+    if sum(r["chars"] for r in measured) > max_travel:
+        met = texts.join(_hashes(texts, shapes).join(anchors, "anchor").select("_id", "goal"), "_id")
+        return met.where(F.contains("_norm", F.col("goal"))).select("_id", "goal")
+    words, chars = [n for kind, n in shapes if kind == "word"], [x for x in shapes if x[0] == "char"]
+    found = []
+    if words:
+        # Only the words about the run are compared: as many as the goal has, so the goal's spaces can fall on theirs alone.
+        count, begin = F.size(F.split("goal", " ")), F.col("_at") - F.col("place") + 1
+        about = F.array_join(F.slice("_words", F.greatest(begin, F.lit(1)), count), " ")
+        met = _placed(texts, words).join(F.broadcast(anchors), "anchor")
+        # Once a row, wherever else in it the goal stands: rows that repeat repeat every place.
+        places = met.where((begin >= 1) & F.contains(about, F.col("goal"))).groupBy(
+            "_id", F.xxhash64("_words").alias("_text"), "goal", "_at").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+        rows = places.groupBy("_id", "_text", "goal").agg(F.max("_n").alias("_n"))
+        found.append(rows.select("_id", F.explode(F.array_repeat("goal", F.col("_n"))).alias("goal")))
+    if chars:
         # Fragments are hashed below the explode, which then is generated code and copies no text a fragment.
-        hashed = texts.withColumn("_hashes", _fragments(F.col("_norm"), shapes))
+        hashed = texts.withColumn("_hashes", _fragments(F.col("_norm"), chars))
         met = hashed.select("_id", "_norm", F.explode_outer("_hashes").alias("anchor")).join(F.broadcast(anchors), "anchor")
-    else:
-        met = texts.join(_hashes(texts, shapes).join(anchors, "anchor").select("_id", "goal"), "_id")
-    return met.where(F.contains("_norm", F.col("goal"))).select(F.col("_id").alias(id_), "goal")
+        found.append(met.where(F.contains("_norm", F.col("goal"))).select("_id", "goal"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def drop_containing(
@@ -155,7 +196,11 @@ def drop_containing(
 ) -> DataFrame:
     """J2. Rows that contain no goal. The ids of the others are found first: up to ``MAX_TRAVEL_IDS`` travel to the rows,
     more are joined."""
-    hit = cut(containing(train, goals, id_, text, goal_text).select(id_).distinct())
+    return _without(train, containing(train, goals, id_, text, goal_text), id_)
+
+
+def _without(train: DataFrame, met: DataFrame, id_: str) -> DataFrame:
+    hit = cut(met.select(id_).distinct())
     return train.join(F.broadcast(hit) if hit.count() <= MAX_TRAVEL_IDS else hit, id_, "left_anti")
 
 
@@ -163,7 +208,9 @@ def decontaminate(
     train: DataFrame, banned: DataFrame, goals: DataFrame, id_: str, text: str = "text"
 ) -> DataFrame:
     """J1 then J2 (U3): training rows that neither equal a banned text nor contain a goal."""
-    return drop_containing(drop_equal(train, banned, text), goals, id_, text)
+    left = _unequal(train, banned, text)
+    texts = left.select(F.col(id_).alias("_id"), F.coalesce("_key", F.lit("")).alias("_norm"))  # normalized once for both
+    return _without(left.drop("_key"), _containing(texts, goals, "text").withColumnRenamed("_id", id_), id_)
 
 
 def dropped_count(before: DataFrame, after: DataFrame) -> DataFrame:
