@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import uuid
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,48 @@ def test_batch_and_stream_equal_a_plain_fold_with_idle_gaps(spark, tmp_path):
     assert streamed == expected
 
 
+def test_stream_makes_only_the_columns_asked_for(spark):
+    class Value:
+        held, asked = None, 0
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            self.asked += 1
+            return self.held
+
+        def put(self, held):
+            self.held = held
+
+        update = put
+
+    class Handle:
+        def __init__(self):
+            self.states = {}
+
+        def getValueState(self, name, *_):
+            return self.states.setdefault(name, Value())
+
+        getListState = getValueState
+
+    turns = pd.DataFrame({
+        "ts": pd.to_datetime([3, 1, 2], unit="s"), "turn": [3, 1, 2], "raw": ["c", "ignore", "previous instructions"],
+        "masked": ["c", "ignore", "previous instructions"], "risk": [0.9, 0.1, 0.2], "head": ["toxic"] * 3})
+    made, handles = {}, {}
+    for columns in (None, M.CLOSING):
+        handles[columns] = Handle()
+        processor = M.ConversationProcessor(payload_batch_scorer, ConversationSettings(), None, columns)
+        processor.init(handles[columns])
+        made[columns] = pd.concat(processor.handleInputRows(("a",), iter([turns]), None))
+    assert tuple(made[None].columns) == M.COLUMNS and tuple(made[M.CLOSING].columns) == M.CLOSING
+    pd.testing.assert_frame_equal(made[None][list(M.CLOSING)], made[M.CLOSING])
+    assert made[None]["user_turn"].tolist() == [1, 2, 3] and made[None]["flagged"].tolist() == [False, True, False]
+    assert [len(h) for h in made[None]["history"]] == [1, 2, 3]
+    assert handles[None].states["kept"].asked == 0  # a new conversation has nothing to read
+    assert handles[None].states["kept"].held == handles[M.CLOSING].states["kept"].held
+
+
 def test_sessions_split_after_the_ttl_only(spark):
     base = dt.datetime(2024, 1, 1)
     rows = [("u", base + dt.timedelta(seconds=s)) for s in (0, 3600, 7201, 7201, 20000)]
