@@ -15,6 +15,11 @@ from wardline.llm import jaccard_join, mixing, packing, sanitise, toxicity
 from wardline.llm.common import checkpoint_dir
 
 
+#: Pieces of text that a worker remembers in packing. Earlier stages have filled the executor's heap by then, so that workers
+#: have less room than in a job of their own.
+REMEMBERED = 150_000
+
+
 def as_before(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, also those whose names hold dots."""
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -57,7 +62,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pieces of training sequences, with their ids. Every row is a document; null and empty texts are the end id alone."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True, remembered=REMEMBERED)
 
 
 STAGES = [

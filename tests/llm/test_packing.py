@@ -91,3 +91,15 @@ def test_documents_are_packed_by_vectors(spark):
     assert all(n == 4096 or n == power_below(n) for n in filled.values())
     lengths, losses = np.array([30, 30, 20]), np.array([3, 29, 19])
     assert pack(lengths, losses, 64, 64, 64)[0][0][0] == 1
+
+
+def test_a_worker_remembers_no_more_than_it_may(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = WordIds(path, 1000)
+    for i in range(20):
+        words.many([" ".join(f"piece{k}" for k in range(500 * i, 500 * i + 500))])
+        assert len(words.known) + len(words.older) <= 2 * (1000 + 500)
+    rows = [(i, " ".join(f"{'x' * (k % 7)}{i * k}" for k in range(i))) for i in range(200)] + [(None, None), (3, "a\U0001F600 b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    one, other = (pack_documents(docs, path, with_ids=True, **more).collect() for more in ({}, {"remembered": 50}))
+    assert sorted(map(str, one)) == sorted(map(str, other))

@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -182,11 +183,12 @@ def groups(batches: Iterator[pa.RecordBatch], words: WordIds, end_id: int) -> It
     held, size = [], 0
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
+        lengths = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
         at = 0
         while at < batch.num_rows:
             stop, chars = at, 0
-            while stop < batch.num_rows and stop - at < 512 and chars < 4 << 20:
-                chars += len(texts[stop].as_py() or "") if texts[stop].is_valid else 0
+            while stop < batch.num_rows and stop - at < 512 and chars < 1 << 20:  # a part's words are some 20 times its size
+                chars += lengths[stop]
                 stop += 1
             part = texts.slice(at, stop - at).to_pylist()
             for doc, row in zip(ids.slice(at, stop - at).to_pylist(), words.many(part)):
@@ -204,6 +206,7 @@ def groups(batches: Iterator[pa.RecordBatch], words: WordIds, end_id: int) -> It
 def pack_documents(
     docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
     max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, end_id: int = END_ID, with_ids: bool = False, quiet: Sequence[int] = (),
+    remembered: int | None = None,
 ) -> DataFrame:
     """Pieces of all documents in sequences: columns ``PIECES``, and ``ids array<int>`` if asked for.
 
@@ -214,7 +217,8 @@ def pack_documents(
     partition and place; a task that runs again gives the same rows.
 
     ``quiet``: ids that bear no loss. An example's demand then is a vector of its own, ids and loss apart, and the dot product
-    chooses; without them loss follows from length, and its choice is the longest that fits.
+    chooses; without them loss follows from length, and its choice is the longest that fits. ``remembered``: pieces of text whose ids
+    a worker keeps (``tokens.MEMORY``), and once more as many older ones; fewer cost time and save memory, the ids are the same.
     """
     need(docs, [id, text])
     silent = np.unique(np.asarray(quiet, np.int64))
@@ -229,7 +233,7 @@ def pack_documents(
     muted[silent] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sequence = word_ids(tokenizer), TaskContext.get().partitionId() << 36
+        words, sequence = word_ids(tokenizer, remembered), TaskContext.get().partitionId() << 36
         for group in groups(batches, words, end_id):
             rows, parts = [], []
             for bin_ in pack(

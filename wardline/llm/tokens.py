@@ -37,8 +37,8 @@ class WordIds:
     piece of Latin letters and signs is looked up by its small letters and its signs.
     """
 
-    def __init__(self, path: str):
-        self.tokenizer = load(path)
+    def __init__(self, path: str, memory: int | None = None):
+        self.tokenizer, self.memory = load(path), MEMORY if memory is None else memory
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what was known before it grew too large; a piece that recurs moves back
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
@@ -58,7 +58,7 @@ class WordIds:
 
     def many(self, texts: list[str | None]) -> list[np.ndarray]:
         pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > MEMORY:
+        if len(self.known) > self.memory:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         unseen = {w for p in pieces for w in p if w not in known}
@@ -89,6 +89,6 @@ class WordIds:
 
 
 @lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, memory: int | None = None) -> WordIds:
     """One memory for all tasks of a worker."""
-    return WordIds(path)
+    return WordIds(path, memory)
