@@ -40,3 +40,18 @@ def test_recall(spark, kind):
         x *= (rng.uniform(0.2, 3.0, len(x)) / np.linalg.norm(x, axis=1))[:, None]
         x[17] *= 50 / np.linalg.norm(x[17])
     assert recall(spark, x) >= 0.9
+
+
+def test_wide_rows_go_to_python_in_small_batches(spark, monkeypatch):
+    """F op1_ann. While graph and search run, batches are small; afterwards the session has its own setting again."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, real = spark.conf.get(name), [], nn_descent.cut
+    monkeypatch.setattr(nn_descent, "cut", lambda df: seen.append(int(spark.conf.get(name))) or real(df))
+    x = np.random.default_rng(1).standard_normal((60, 4))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    made = nn_descent.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 20 = 0")
+    assert seen and max(seen) <= nn_descent.ROWS and spark.conf.get(name) == before
+    assert made.count() == 60
+    with pytest.raises(ValueError):
+        nn_descent.nearest(made, "id % 20 = 0")
+    assert spark.conf.get(name) == before

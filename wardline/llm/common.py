@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.plans.lineage import checkpoint_dir, cut
 
-__all__ = ["checkpoint_dir", "cut", "hex_number", "need", "release", "shuffle_partitions"]
+__all__ = ["checkpoint_dir", "cut", "hex_number", "need", "release", "shuffle_partitions", "small_batches"]
 
 
 def need(df: DataFrame, columns: Sequence[str]) -> None:
@@ -23,6 +24,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Whatever runs inside sends Python at most ``rows`` wide rows at once; the session's own setting is back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver notice that earlier rounds of an iteration are unreachable, so that Spark deletes their shuffle
     files and checkpoints now and not at the next periodic collection (``spark.cleaner.periodicGC.interval``)."""

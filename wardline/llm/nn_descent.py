@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.llm.common import cut, need, release, shuffle_partitions
+from wardline.llm.common import cut, need, release, shuffle_partitions, small_batches
 from wardline.llm.vectors import distinct_vectors, pick_vectors
 
 #: Neighbours kept a node, neighbours that take part a round and kind (new, old), and the share of changed neighbours below
@@ -27,6 +27,8 @@ BACK = 12
 RESCORE, CLOSE = 2, 1e-5
 #: Cells or queries that a task works on at a time.
 SLICE = 128
+#: Rows that go to Python at once: in a search step a row is a node with up to 3 * DEGREE vectors.
+ROWS = 512
 GRAPH = "node long, vec binary, ids array<long>, sims array<float>, fresh array<boolean>"
 
 
@@ -381,12 +383,13 @@ def nearest(
     different length are separate spaces. Rows that repeat an id are one candidate. Fewer than ``k`` candidates give fewer rows.
     """
     need(vectors, [id, vector])
-    rows = pick_vectors(vectors, id, vector)
-    classes, member = distinct_vectors(rows)
-    member = cut(member.distinct())
     parts = []
-    for dim in sorted(r["dim"] for r in classes.select("dim").distinct().collect()):
-        parts.append(_nearest(classes.where(F.col("dim") == dim), member, wanted, dim, k, degree, expand, beam))
+    with small_batches(vectors.sparkSession, ROWS):  # graph and search run here; what is returned only scores their answers
+        rows = pick_vectors(vectors, id, vector)
+        classes, member = distinct_vectors(rows)
+        member = cut(member.distinct())
+        for dim in sorted(r["dim"] for r in classes.select("dim").distinct().collect()):
+            parts.append(_nearest(classes.where(F.col("dim") == dim), member, wanted, dim, k, degree, expand, beam))
     if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return reduce(DataFrame.unionByName, parts)
