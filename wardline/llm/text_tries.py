@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import permutations
+from itertools import accumulate, permutations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +24,9 @@ BLOCK_BYTES, CELL_BYTES, LEAST_BYTES = 16 << 20, 32 << 20, 1 << 20
 #: A prefix that is too heavy is split by so many further bytes behind what all its texts share. For that, so many bytes of
 #: a text are compared in the first round, and twice as many in each later one up to the most.
 SPLIT_BYTES, SHARED_BYTES, MOST_SHARED = 2, 1024, 1 << 16
+#: Rounds of splitting for the cells. Near copies part at every place where one was edited, a round each; what is still too
+#: heavy then is dealt to several cells by a hash of the whole text, which equal texts share.
+ROUNDS = 3
 
 
 def mask_of(text: bytes) -> int:
@@ -97,15 +100,24 @@ class Trie:
 
 
 def cut_points(texts: DataFrame, cell_bytes: int) -> list[bytes]:
-    """Prefixes that cut all texts, in byte order, into ranges of about ``cell_bytes`` each. ``texts``: one binary column.
+    """Prefixes that cut all texts, in byte order, into ranges of about ``cell_bytes`` each, however many rounds that takes."""
+    return [prefix for prefix, _ in ranges(texts, cell_bytes)[1:]]
+
+
+def ranges(texts: DataFrame, cell_bytes: int, rounds: int | None = None) -> list[tuple[bytes, int]]:
+    """``(first prefix, cells)`` of ranges of all texts in byte order, of about ``cell_bytes`` a cell. ``texts``: one binary column.
 
     A radix tree grows from the root: each round weighs, over all texts, the next bytes behind the prefixes that are still too
     heavy; a heavy one is then split behind what all of its texts share, so one round passes a long common head. A prefix
-    whose texts are all equal (by hash) stays whole. The driver gets one row per child of a heavy prefix.
+    whose texts are all equal (by hash) stays whole. One that is too heavy after the last of ``rounds`` is a range of several
+    cells. The driver gets one row per child of a heavy prefix.
     """
-    open_, leaves, reach = {b""}, [], SHARED_BYTES
+    open_, leaves, heavy, reach, round_ = {b""}, [], {}, SHARED_BYTES, 0
     whole = F.col(texts.columns[0])
     while open_:
+        round_ += 1
+        last = round_ == rounds
+        reach = 1 if last else reach  # nothing is split behind a shared head any more
         lengths = sorted({len(p) for p in open_}, reverse=True)
         wanted, compared = frozenset(open_), reach
 
@@ -143,17 +155,22 @@ def cut_points(texts: DataFrame, cell_bytes: int) -> list[bytes]:
             child = bytes(r["child"])
             if r["low"] is None or len(child) < r["n"] + SPLIT_BYTES:  # light, one text, or texts that end here
                 leaves.append((child, r["weight"]))
+            elif last:
+                heavy[child] = -(-r["weight"] // cell_bytes)
+                leaves.append((child, r["weight"]))
             else:
                 low = bytes(r["low"])
                 open_.add(low[:shared(low, bytes(r["high"]))])
         reach = min(2 * reach, MOST_SHARED)
-    cuts, held = [], 0
+    made, held = [(b"", 1)], 0
     for prefix, weight in sorted(leaves):
         if held and held + weight > cell_bytes:
-            cuts.append(prefix)
+            made.append((prefix, 1))
             held = 0
         held += weight
-    return cuts
+        if prefix in heavy:  # its range is its own: held is above the limit, so the next prefix begins another
+            made[-1] = made[-1][0], heavy[prefix]
+    return made
 
 
 ROWS = "cell int, text binary, doc_id long, part string, mask int, n long"
@@ -164,8 +181,8 @@ def masks(docs: DataFrame, *, id: str = "doc_id", text: str = "text", part: str
 
     A task first puts its rows into tries of ``BLOCK_BYTES``. A row whose text the block holds under a smaller id is a duplicate
     for sure and goes on without its text; of each distinct text one row per id, part and block travels. Ranges of
-    texts between adaptive prefixes are the cells of the shuffle; each cell is one trie, whose terminals hold the
-    smallest id of their text. A task holds one cell at a time.
+    texts between adaptive prefixes, and hashes within a range that stayed too heavy, are the cells of the shuffle; each cell is
+    one trie, whose terminals hold the smallest id of their text. A task holds one cell at a time.
 
     A null text is empty, a null part too. A row with a null id is no duplicate and makes none; rows of one id and text
     are none of each other.
@@ -177,8 +194,10 @@ def masks(docs: DataFrame, *, id: str = "doc_id", text: str = "text", part: str
     spark = docs.sparkSession
     total = source.agg(F.sum(F.octet_length("text").cast("long") + 64)).first()[0]
     wanted = min(cell_bytes, max(LEAST_BYTES, (total or 0) // shuffle_partitions(spark)))
-    cuts = cut_points(source.select("text"), wanted) if total else []
-    cells = len(cuts) + 1
+    parted = ranges(source.select("text"), wanted, ROUNDS) if total else [(b"", 1)]
+    cuts, parts = [prefix for prefix, _ in parted[1:]], [n for _, n in parted]
+    begins = list(accumulate(parts, initial=0))
+    cells = begins.pop()
 
     def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, size, out = Trie(), 0, []
@@ -188,7 +207,8 @@ def masks(docs: DataFrame, *, id: str = "doc_id", text: str = "text", part: str
                 kept: dict[tuple, int] = {}
                 for doc, name, mask in entries:
                     kept[doc, name, mask] = kept.get((doc, name, mask), 0) + 1
-                cell = bisect_right(cuts, whole)
+                at = bisect_right(cuts, whole)
+                cell = begins[at] + (zlib.crc32(whole) % parts[at] if parts[at] > 1 else 0)
                 for (doc, name, mask), n in kept.items():
                     if doc == least:
                         out.append((cell, whole, doc, name, mask, n))
