@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,8 +141,9 @@ def first_neighbours(vectors: DataFrame, sizes: dict[int, int], dim: int, degree
         compare, "node long, b long, sim float")
 
 
-def merge_into(graph: DataFrame, proposals: DataFrame, degree: int, round_: int, sample: int) -> DataFrame:
-    """The graph with the best of its neighbours and ``proposals`` (``node, b, sim``); those that took part are known now."""
+def merge_into(graph: DataFrame, proposals: DataFrame, degree: int, round_: int, sample: int, new: Accumulator) -> DataFrame:
+    """The graph with the best of its neighbours and ``proposals`` (``node, b, sim``); those that took part are known now.
+    ``new`` gets the number of neighbours that are not."""
     best = Window.partitionBy("node").orderBy(F.col("sim").desc(), "b")
     # dense_rank: equal proposals count once. Its group limit also applies before the shuffle, so a node that everyone
     # proposes to is cut down where the proposals are made.
@@ -162,6 +164,7 @@ def merge_into(graph: DataFrame, proposals: DataFrame, degree: int, round_: int,
                     s = np.concatenate([s, t.field("sim").to_numpy()])
                     f = np.concatenate([f, np.ones(len(t), bool)])
                 out.append(merged(a.astype(np.int64), s.astype(np.float32), f.astype(bool), degree))
+            new.add(int(sum(o[2].sum() for o in out)))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), lists([o[0] for o in out], pa.int64()), lists([o[1] for o in out], pa.float32()),
                 pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(o[2]) for o in out])]).astype(np.int32),
@@ -171,29 +174,46 @@ def merge_into(graph: DataFrame, proposals: DataFrame, degree: int, round_: int,
     return graph.join(gathered, "node", "left").select("node", "vec", "ids", "sims", "fresh", "more").mapInArrow(run, GRAPH)
 
 
+def first_of(order: np.ndarray, n: int, *groups: np.ndarray) -> np.ndarray:
+    """Places of each group's first ``n`` rows by ``order``."""
+    at = np.lexsort((order, *groups))
+    change = np.zeros(len(at), bool)
+    change[:1] = True
+    for g in groups:
+        change[1:] |= g[at[1:]] != g[at[:-1]]
+    begin = np.flatnonzero(change)
+    return at[np.arange(len(at)) - np.repeat(begin, np.diff(np.r_[begin, len(at)])) < n]
+
+
 def neighbour_pairs(graph: DataFrame, degree: int, round_: int, sample: int) -> DataFrame:
     """One round's local joins: ``node, b, sim`` for neighbours of a common neighbour, where they beat what a node has."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        via, node, draw, new = [], [], [], []
         for batch in batches:
-            at, to, new = [], [], []
-            for node, ids, fresh in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                a, f = ids.values.to_numpy(), fresh.values.to_numpy(zero_copy_only=False)
-                for places, flag in zip(chosen(node, a, f, round_, sample), (True, False)):
-                    at.append(np.full(len(places), node))
-                    to.append(a[places])
-                    new.append(np.full(len(places), flag))
-            at, to, new = np.concatenate(at), np.concatenate(to), np.concatenate(new)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([at, to]).astype(np.int64)), pa.array(np.concatenate([to, at]).astype(np.int64)),
-                pa.array(np.concatenate([new, new]).astype(bool))], ["via", "node", "fresh"])
+            for own, drawn, ids, draws, fresh in zip(*(batch.column(i).to_pylist() for i in (0, 1)), *(batch.column(i) for i in (2, 3, 4))):
+                a, d, f = ids.values.to_numpy(), draws.values.to_numpy(), fresh.values.to_numpy(zero_copy_only=False)
+                for places, flag in zip(chosen(own, a, f, round_, sample), (True, False)):
+                    via += [np.full(len(places), own), a[places]]
+                    node += [a[places], np.full(len(places), own)]
+                    draw += [d[places], np.full(len(places), drawn)]
+                    new.append(np.full(2 * len(places), flag))
+        if not via:
+            return
+        via, node, draw, new = np.concatenate(via), np.concatenate(node), np.concatenate(draw), np.concatenate(new)
+        # A node that everyone knows is cut down before the shuffle; what a task holds for that is 25 bytes a row.
+        kept = first_of(draw, 2 * sample, new, via)
+        for i in range(0, len(kept), 1 << 16):
+            at = kept[i:i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(via[at]), pa.array(node[at]), pa.array(draw[at]), pa.array(new[at])], ["via", "node", "draw", "fresh"])
 
-    sent = graph.select("node", "ids", "fresh").mapInArrow(send, "via long, node long, fresh boolean")
-    order = Window.partitionBy("via", "fresh").orderBy(F.xxhash64("node", F.lit(round_)))
-    some = sent.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 2 * sample).drop("place")
+    drawn = lambda c: F.xxhash64(c, F.lit(round_))
+    some = graph.select("node", drawn(F.col("node")), "ids", F.transform("ids", drawn), "fresh").mapInArrow(
+        send, "via long, node long, draw long, fresh boolean")
     worst = F.when(F.size("sims") >= degree, F.element_at("sims", -1)).otherwise(F.lit(-2.0).cast("float"))
     full = some.join(graph.select("node", "vec", worst.alias("worst")), "node").groupBy("via").agg(
-        F.collect_list(F.struct("node", "fresh", "worst", "vec")).alias("rows")).select("rows")
+        F.collect_list(F.struct("node", "draw", "fresh", "worst", "vec")).alias("rows")).select("rows")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,6 +224,7 @@ def neighbour_pairs(graph: DataFrame, degree: int, round_: int, sample: int) ->
         a, b, s = [], [], []
         for cell in cells:
             t = pa.RecordBatch.from_struct_array(cell.values)
+            t = t.take(pa.array(first_of(t.column("draw").to_numpy(), 2 * sample, t.column("fresh").to_numpy(zero_copy_only=False))))
             node, one = np.unique(t.column("node").to_numpy(), return_index=True)
             fresh = t.column("fresh").to_numpy(zero_copy_only=False)
             known = np.zeros(len(node), bool)
@@ -237,13 +258,15 @@ def build_graph(vectors: DataFrame, sizes: dict[int, int], dim: int, degree: int
     none = F.array()
     bare = vectors.select("node", "vec", none.cast("array<long>").alias("ids"), none.cast("array<float>").alias("sims"),
                           none.cast("array<boolean>").alias("fresh"))
-    graph = cut(merge_into(bare, first_neighbours(vectors, sizes, dim, degree, seed), degree, -1, sample))
+    count = spark.sparkContext.accumulator  # counted where rows are made: a pass of its own would cost a task a partition; a
+    # task that runs again may count twice, which at worst adds a round
+    graph = cut(merge_into(bare, first_neighbours(vectors, sizes, dim, degree, seed), degree, -1, sample, count(0)))
     round_, changed = 0, nodes * degree
     while changed > least_change * nodes * degree:
-        graph = cut(merge_into(graph, neighbour_pairs(graph, degree, round_, sample), degree, round_, sample))
+        new = count(0)
+        graph = cut(merge_into(graph, neighbour_pairs(graph, degree, round_, sample), degree, round_, sample, new))
         release(spark)
-        # What is new and did not wait for its turn already.
-        changed = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0] or 0
+        changed = new.value  # what is new and did not wait for its turn already
         round_ += 1
     return graph
 
@@ -290,12 +313,15 @@ def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, expand: int
         return np.flatnonzero(~done)[:expand]
 
     def out(batch: pa.RecordBatch, rows: list) -> pa.RecordBatch:
+        left.add(sum(len(pending(r[2])) for r in rows))
         return pa.RecordBatch.from_arrays([
             batch.column("qid"), batch.column("vec"), lists([r[0] for r in rows], pa.int64()), lists([r[1] for r in rows], pa.float32()),
             pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]).astype(np.int32),
                                      pa.array(np.concatenate([*[r[2] for r in rows], np.empty(0, bool)]).astype(bool))),
             pa.array([len(pending(r[2])) for r in rows], pa.int32())], ["qid", "vec", "ids", "sims", "done", "open"])
 
+    left = spark.sparkContext.accumulator(0)  # candidates to expand; as in build_graph, at worst it adds a step
+
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -358,7 +384,8 @@ def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, expand: int
     try:
         next_ = adjacency(graph, name)
         state = cut(queries.select("qid", "vec", "start").mapInArrow(begin, state_type))
-        while state.where("open > 0").limit(1).count():
+        while left.value:
+            left.value = 0
             asked = state.where("open > 0").mapInArrow(frontier, "qid long, node long, vec binary, least float")
             seen = asked.join(next_, "node").select("qid", "vec", "least", "ids", "vecs").mapInArrow(
                 visit, "qid long, ids array<long>, sims array<float>")
