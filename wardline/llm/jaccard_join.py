@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import cut, need, release
+from wardline.llm.common import cut, need, release, small_batches
 from wardline.llm.components import components, star_edges
 from wardline.llm.embed_dedup import block_pairs
 
@@ -22,6 +22,8 @@ WORDS, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.98
 TOKENS, RUNS, BRANCHES = 128, 8, 1.5
 #: A bucket up to LIMIT texts is compared at once; deeper than DEPTH a larger one is compared block by block.
 LIMIT, DEPTH, BLOCK = 200, 4, 512
+#: Cells that go to Python at once: a cell of two blocks holds up to 2 * BLOCK texts' tokens or shingles.
+CELLS = 16
 #: Candidates: estimated similarity this far below the threshold at most (over 3.5 deviations of 128 tokens at 0.8).
 SLACK = 0.125
 _WORD = re.compile(r"\w+")
@@ -176,7 +178,8 @@ def run_paths(classes: DataFrame, runs: range, least: float, limit: int = LIMIT,
             blocks = block_pairs(large.select("path", "rid", "tokens"), BLOCK, "path", "rid").groupBy("path", "i", "j").agg(
                 F.collect_list(F.struct("rid", "tokens", "left", "right")).alias("rows")).select(half, "rows")
             made = made.unionByName(candidates(blocks, least))
-        made = cut(made.distinct())
+        with small_batches(classes.sparkSession, CELLS):
+            made = cut(made.distinct())
         found = made if found is None else found.unionByName(made)
         if d == depth or not large.limit(1).count():
             return found
@@ -320,7 +323,8 @@ def _similar(
     wanted = groups.join(classes.select(F.col("rid").alias("node"), "least", "tie", "weight"), "node")
     members = texts.join(wanted, ["least", "tie"]).select("root", "node", "weight", "text").mapInArrow(
         itemize, "root long, node long, weight long, items binary").dropDuplicates(["node"])
-    exact = cut(verified(members, threshold))
+    with small_batches(spark, CELLS):
+        exact = cut(verified(members, threshold))
     classes_of = components(exact.where("low is not null").select(F.col("node").alias("a"), F.col("low").alias("b")))
     counted = exact.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes_of.unionByName(classes_of.select(F.col("root").alias("node"), "root").distinct()).join(
