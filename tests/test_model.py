@@ -63,6 +63,17 @@ def test_vectors_match_the_long_form(model):
         assert got == pytest.approx(expected.get(r["id"], {}))
 
 
+def test_vectors_of_a_batch_share_their_memory():
+    terms = pd.DataFrame({"kind": "word", "term": [f"w{i:03d}" for i in range(500)], "idf": 1.0})
+    model = LinearModel(terms, {})
+    texts = [" ".join(f"w{(i + k) % 500:03d}" for k in range(100)) for i in range(40)]
+    rows = model.vectors(texts)
+    assert [len(i) for i, _ in rows] == [100] * 40
+    held = {id(x.base): x.base.nbytes for row in rows for x in row}
+    # A copy of the whole batch for each of its texts took gigabytes.
+    assert sum(held.values()) <= 2 * sum(x.nbytes for row in rows for x in row)
+
+
 def test_pluggable_scorer(spark):
     def load():
         return lambda texts: pd.DataFrame({
