@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from wardline.functions.text import with_normalized
 from wardline.operators import features, metrics, ranking, scoring
 from wardline.operators.batch_terms import char_totals
 from wardline.operators.linear_scorer import LinearModel, load_linear, with_linear_scores, with_vectors
@@ -74,6 +75,17 @@ def test_vectors_of_a_batch_share_their_memory():
     assert sum(held.values()) <= 2 * sum(x.nbytes for row in rows for x in row)
 
 
+def test_vectors_take_no_python_step_a_row(model):
+    df, terms, _ = model
+    linear = LinearModel(terms.select("kind", "term", "idf").toPandas(), {})
+    made = with_vectors(df, linear)
+    assert "BatchEvalPython" not in made._jdf.queryExecution().executedPlan().toString()
+    # Normalized texts can be kept and turned into vectors again and again.
+    kept = with_normalized(df, "text", "text")
+    again = {r["id"]: r["features"] for r in with_vectors(kept, linear, normed=True).collect()}
+    assert made.columns == [*df.columns, "features"] and again == {r["id"]: r["features"] for r in made.collect()}
+
+
 def test_pluggable_scorer(spark):
     def load():
         return lambda texts: pd.DataFrame({
