@@ -178,11 +178,10 @@ def _containing(texts: DataFrame, goals: DataFrame, goal_text: str, max_travel:
         count, begin = F.size(F.split("goal", " ")), F.col("_at") - F.col("place") + 1
         about = F.array_join(F.slice("_words", F.greatest(begin, F.lit(1)), count), " ")
         met = _placed(texts, words).join(F.broadcast(anchors), "anchor")
-        # Once a row, wherever else in it the goal stands: rows that repeat repeat every place.
-        places = met.where((begin >= 1) & F.contains(about, F.col("goal"))).groupBy(
-            "_id", F.xxhash64("_words").alias("_text"), "goal", "_at").agg(F.count(F.lit(1)).cast("int").alias("_n"))
-        rows = places.groupBy("_id", "_text", "goal").agg(F.max("_n").alias("_n"))
-        found.append(rows.select("_id", F.explode(F.array_repeat("goal", F.col("_n"))).alias("goal")))
+        # Once a row, wherever else in it the goal stands: where no window before this one holds it.
+        before = F.array_join(F.slice("_words", F.lit(1), F.greatest(begin + count - 2, F.lit(0))), " ")
+        first = (begin >= 1) & F.contains(about, F.col("goal")) & ~F.contains(before, F.col("goal"))
+        found.append(met.where(first).select("_id", "goal"))
     if chars:
         # Fragments are hashed below the explode, which then is generated code and copies no text a fragment.
         hashed = texts.withColumn("_hashes", _fragments(F.col("_norm"), chars))
